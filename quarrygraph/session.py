@@ -6,6 +6,8 @@ import atexit
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,6 +40,21 @@ def _remove_tree(path: str) -> None:
     shutil.rmtree(path, ignore_errors=True)
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends the package to the executors, once per context, so that their Python workers can import it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_quarrygraph_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    made = tempfile.mkdtemp(prefix="quarrygraph-code-")
+    atexit.register(_remove_tree, made)
+    with zipfile.ZipFile(f"{made}/quarrygraph.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(package.rglob("*.py")):
+            z.write(p, p.relative_to(package.parent))
+    sc.addPyFile(f"{made}/quarrygraph.zip")
+    sc._quarrygraph_shipped = True  # type: ignore[attr-defined]
+
+
 class Scratch:
     """Intermediate tables of one operator run, written as Parquet into the shared folder.
 
