@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrygraph.llm import bpe, neighbours, packing, textstats
-from quarrygraph.plans.registry import Query
+from quarrygraph.plans.registry import Query, shipped
 from quarrygraph.session import table
 
 QUERIES: dict[str, Query] = {}
@@ -15,7 +15,7 @@ SQL: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None):  # noqa: ANN201
     def add(f: Query) -> Query:
-        QUERIES[name] = f
+        QUERIES[name] = shipped(f)
         if sql:
             SQL[name] = sql
         return f
@@ -60,13 +60,15 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "p9_statistics",
-    r"""WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g') AS t FROM documents),
+    r"""WITH c AS (SELECT list(DISTINCT lower(word)) FILTER (WHERE NOT regexp_matches(word, '[\x{4e00}-\x{9fff}]')) AS spaced,
+  string_agg(DISTINCT lower(word), '|' ORDER BY len(lower(word)) DESC, lower(word)) FILTER (WHERE regexp_matches(word, '[\x{4e00}-\x{9fff}]')) AS han_words FROM common_words),
+ t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g') AS t FROM documents),
  w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(lower(t), '[^\p{L}\p{M}\p{N}''’]+'), lambda x: x <> '') AS ws,
   list_filter(string_split(t, chr(10)), lambda x: trim(x, ' ') <> '') AS ls,
   len(regexp_extract_all(t, '[\x{4e00}-\x{9fff}]')) AS han, len(regexp_extract_all(t, '\p{L}|\p{M}')) AS let, len(regexp_extract_all(t, '\p{N}')) AS dig,
   len(regexp_replace(t, '[ \t\n\x{0b}\f\r]+', '', 'g')) AS seen,
-  len(list_filter(regexp_split_to_array(lower(t), '[^\p{L}\p{M}\p{N}''’]+'), lambda x: x IN (SELECT lower(word) FROM common_words WHERE NOT regexp_matches(word, '[\x{4e00}-\x{9fff}]')))) AS common,
-  len(t) - len(regexp_replace(t, (SELECT string_agg(lower(word), '|' ORDER BY len(word) DESC, word) FROM common_words WHERE regexp_matches(word, '[\x{4e00}-\x{9fff}]')), '', 'g')) AS covered FROM t),
+  len(list_filter(regexp_split_to_array(lower(t), '[^\p{L}\p{M}\p{N}''’]+'), lambda x: list_contains(c.spaced, x))) AS common,
+  len(t) - len(regexp_replace(t, c.han_words, '', 'g')) AS covered FROM t, c),
  n AS (SELECT *, len(list_filter(ws, lambda x: NOT regexp_matches(x, '^[\x{4e00}-\x{9fff}]'))) + han AS words FROM w)
  SELECT doc_id, words::DOUBLE AS words, round(coalesce((let + dig) / nullif(words, 0), 0), 6) AS mean_word_length, round(coalesce((seen - let - dig) / nullif(seen, 0), 0), 6) AS symbol_share,
   round(coalesce(len(list_filter(ls, lambda x: regexp_matches(x, '[.!?。!?…]["”’»)\]'']*\s*$'))) / nullif(len(ls), 0), 0), 6) AS ended_share, round(coalesce((common + covered) / nullif(words, 0), 0), 6) AS common_share FROM n""",
