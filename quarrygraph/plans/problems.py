@@ -10,7 +10,7 @@ from quarrygraph.plans.registry import query
 from quarrygraph.session import table
 
 REL = """rel AS (SELECT * FROM relations WHERE ord IS NOT NULL QUALIFY row_number() OVER (PARTITION BY ord ORDER BY indexed_at DESC NULLS LAST,
- src_id DESC NULLS LAST, tgt_id DESC NULLS LAST, keywords DESC NULLS LAST, weight DESC NULLS LAST, resolution_qualifier DESC NULLS LAST) = 1)"""
+ src_id DESC NULLS LAST, tgt_id DESC NULLS LAST, keywords DESC NULLS LAST, weight DESC NULLS LAST, resolution_qualifier DESC NULLS LAST, source_id DESC NULLS LAST) = 1)"""
 ENDS = f"""{REL}, ends AS (SELECT 'src' AS side, src_id AS node, lower(trim(keywords)) AS kind, weight FROM rel
  UNION ALL SELECT 'tgt', tgt_id, lower(trim(keywords)), weight FROM rel)"""
 
