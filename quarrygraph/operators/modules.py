@@ -61,7 +61,7 @@ def overview_top(relations: DataFrame, entities: DataFrame, depth: int = 2, top:
     e = placed(entities).select(F.col("entity_name").alias("entity"), X.module_of(F.col("source_id"), depth).alias("module"))
     n = e.join(touches(relations), "entity", "left").select("module", "entity", F.coalesce("n", F.lit(0)).alias("n"))
     order = Window.partitionBy("module").orderBy(F.desc("n"), "entity")
-    return n.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("module", "rank", "entity", "n")
+    return n.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= top).select("module", "rank", "entity", "n")
 
 
 def type_counts(entities: DataFrame, relations: DataFrame) -> DataFrame:

@@ -187,7 +187,7 @@ def freshness(spark: SparkSession, d: str) -> DataFrame:
     return modules.freshness(G.entities(spark, d), files)
 
 
-@query("freshness_summary", f"WITH {G.ENT}, f AS ({_LISTING}), p AS (SELECT DISTINCT regexp_replace(source_id, ':\\d+(-\\d+)?$', '') AS file FROM e WHERE source_id <> '' AND source_id <> 'external'), q AS (SELECT file IN (SELECT file FROM f) AS fresh FROM p) SELECT count(*) AS total, count_if(fresh) AS valid, count_if(NOT fresh) AS stale, round(count_if(fresh) / count(*), 3) AS ratio FROM q")
+@query("freshness_summary", f"WITH {G.ENT}, f AS ({_LISTING}), p AS (SELECT DISTINCT regexp_replace(source_id, ':\\d+(-\\d+)?$', '') AS file FROM e WHERE source_id <> '' AND source_id <> 'external'), q AS (SELECT file IN (SELECT file FROM f) AS fresh FROM p) SELECT count(*) AS total, count(*) FILTER (WHERE fresh) AS valid, count(*) FILTER (WHERE NOT fresh) AS stale, round(count(*) FILTER (WHERE fresh) / count(*), 3) AS ratio FROM q")
 def freshness_summary(spark: SparkSession, d: str) -> DataFrame:
     return modules.freshness_summary(freshness(spark, d))
 
@@ -292,13 +292,13 @@ def content_changes(spark: SparkSession, d: str) -> DataFrame:
     return _branch(spark, d).content(G.digest())
 
 
-@query("content_status", f"WITH {G.SIDES}, {_CONTENT}, n AS (SELECT count_if(state <> 'unknown') AS comparable, count_if(state = 'unknown') AS uncomparable, count_if(state = 'changed') AS changed FROM ct) SELECT CASE WHEN comparable = 0 AND uncomparable > 0 THEN 'unavailable' WHEN uncomparable > 0 THEN 'partial' ELSE 'available' END AS status, * FROM n")
+@query("content_status", f"WITH {G.SIDES}, {_CONTENT}, n AS (SELECT count(*) FILTER (WHERE state <> 'unknown') AS comparable, count(*) FILTER (WHERE state = 'unknown') AS uncomparable, count(*) FILTER (WHERE state = 'changed') AS changed FROM ct) SELECT CASE WHEN comparable = 0 AND uncomparable > 0 THEN 'unavailable' WHEN uncomparable > 0 THEN 'partial' ELSE 'available' END AS status, * FROM n")
 def content_status(spark: SparkSession, d: str) -> DataFrame:
     b = _branch(spark, d)
     return b.content_status(b.content(G.digest()))
 
 
-_MD = f"md AS (SELECT module, count_if(change = 'added') AS edges_added, count_if(change = 'removed') AS edges_removed FROM (SELECT change, {G.sql_module('source_id', 2)} AS module FROM ch JOIN he ON entity_name = src WHERE change = 'added' UNION ALL SELECT change, {G.sql_module('source_id', 2)} FROM ch JOIN be ON entity_name = src WHERE change = 'removed') GROUP BY 1)"
+_MD = f"md AS (SELECT module, count(*) FILTER (WHERE change = 'added') AS edges_added, count(*) FILTER (WHERE change = 'removed') AS edges_removed FROM (SELECT change, {G.sql_module('source_id', 2)} AS module FROM ch JOIN he ON entity_name = src WHERE change = 'added' UNION ALL SELECT change, {G.sql_module('source_id', 2)} FROM ch JOIN be ON entity_name = src WHERE change = 'removed') GROUP BY 1)"
 
 
 @query("module_delta", f"WITH {G.BRANCH}, {_MD} FROM md")
@@ -314,7 +314,7 @@ def module_delta_top(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "branch_summary",
     f"""WITH {G.BRANCH}, {_MD} SELECT (SELECT count(*) FROM he WHERE entity_name NOT IN (SELECT entity_name FROM be)) AS entities_added, (SELECT count(*) FROM be WHERE entity_name NOT IN (SELECT entity_name FROM he)) AS entities_removed,
- (SELECT count(*) FROM be WHERE entity_name IN (SELECT entity_name FROM he)) AS entities_shared, (SELECT count_if(change = 'added') FROM ch) AS edges_added, (SELECT count_if(change = 'removed') FROM ch) AS edges_removed,
+ (SELECT count(*) FROM be WHERE entity_name IN (SELECT entity_name FROM he)) AS entities_shared, (SELECT count(*) FILTER (WHERE change = 'added') FROM ch) AS edges_added, (SELECT count(*) FILTER (WHERE change = 'removed') FROM ch) AS edges_removed,
  (SELECT count(*) FROM ch WHERE change = 'removed' AND src IN (SELECT entity_name FROM he)) AS broken_chains, (SELECT count(*) FROM ch WHERE change = 'added' AND src IN (SELECT entity_name FROM be)) AS new_chains, (SELECT count(*) FROM md) AS modules_changed""",
 )
 def branch_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -542,7 +542,7 @@ def git_score(spark: SparkSession, d: str) -> DataFrame:
     return debt.git_score(hot, silos)
 
 
-@query("debt_health", _ISSUES + ", n AS (SELECT count_if(severity = 'P0') AS p0, count_if(severity = 'P1') AS p1, count_if(severity = 'P2') AS p2, 100.0::DOUBLE AS quality, CAST(NULL AS DOUBLE) AS maintainability, (SELECT score::DOUBLE FROM ts) AS structure FROM iss), h AS (SELECT *, CAST(trunc(round((quality * 0.4 + structure * 0.3) / 0.7, 9)) AS INTEGER) AS total FROM n) SELECT *, CASE WHEN total >= 90 THEN 'A' WHEN total >= 80 THEN 'B' WHEN total >= 70 THEN 'C' WHEN total >= 60 THEN 'D' ELSE 'F' END AS grade FROM h")
+@query("debt_health", _ISSUES + ", n AS (SELECT count(*) FILTER (WHERE severity = 'P0') AS p0, count(*) FILTER (WHERE severity = 'P1') AS p1, count(*) FILTER (WHERE severity = 'P2') AS p2, 100.0::DOUBLE AS quality, CAST(NULL AS DOUBLE) AS maintainability, (SELECT score::DOUBLE FROM ts) AS structure FROM iss), h AS (SELECT *, CAST(trunc(round((quality * 0.4 + structure * 0.3) / 0.7, 9)) AS INTEGER) AS total FROM n) SELECT *, CASE WHEN total >= 90 THEN 'A' WHEN total >= 80 THEN 'B' WHEN total >= 70 THEN 'C' WHEN total >= 60 THEN 'D' ELSE 'F' END AS grade FROM h")
 def debt_health(spark: SparkSession, d: str) -> DataFrame:
     issues, t, _, _, _ = _issues(spark, d)
     return debt.health(issues, t.score())
