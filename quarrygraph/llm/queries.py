@@ -64,15 +64,15 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
   string_agg(DISTINCT lower(word), '|' ORDER BY len(lower(word)) DESC, lower(word)) FILTER (WHERE regexp_matches(word, '[\x{4e00}-\x{9fff}]')) AS han_words FROM common_words),
  t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g') AS t FROM documents),
  w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(lower(t), '[^\p{L}\p{M}\p{N}''’]+'), lambda x: x <> '') AS ws,
-  list_filter(string_split(t, chr(10)), lambda x: trim(x, ' ') <> '') AS ls,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]')) AS ls,
   len(regexp_extract_all(t, '[\x{4e00}-\x{9fff}]')) AS han, len(regexp_extract_all(t, '\p{L}|\p{M}')) AS let, len(regexp_extract_all(t, '\p{N}')) AS dig,
   len(regexp_replace(t, '[ \t\n\x{0b}\f\r]+', '', 'g')) AS seen,
   len(list_filter(regexp_split_to_array(lower(t), '[^\p{L}\p{M}\p{N}''’]+'), lambda x: list_contains(c.spaced, x))) AS common,
   len(t) - len(regexp_replace(t, c.han_words, '', 'g')) AS covered FROM t, c),
  n AS (SELECT *, len(list_filter(ws, lambda x: NOT regexp_matches(x, '^[\x{4e00}-\x{9fff}]'))) + han AS words FROM w)
- SELECT doc_id, words::DOUBLE AS words, round(coalesce((let + dig) / nullif(words, 0), 0), 6) AS mean_word_length, round(coalesce((seen - let - dig) / nullif(seen, 0), 0), 6) AS symbol_share,
-  round(coalesce(len(list_filter(ls, lambda x: regexp_matches(x, '[.!?。!?…]["”’»)\]'']*\s*$'))) / nullif(len(ls), 0), 0), 6) AS ended_share, round(coalesce((common + covered) / nullif(words, 0), 0), 6) AS common_share FROM n""",
+ SELECT doc_id, words::DOUBLE AS words, coalesce((let + dig) / nullif(words, 0), 0) AS mean_word_length, coalesce((seen - let - dig) / nullif(seen, 0), 0) AS symbol_share,
+  coalesce(len(list_filter(ls, lambda x: regexp_matches(x, '[.!?。!?…]["”’»)\]'']*\s*$'))) / nullif(len(ls), 0), 0) AS ended_share, coalesce((common + covered) / nullif(words, 0), 0) AS common_share FROM n""",
 )
 def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
     docs, _, common = _texts(spark, d)
-    return textstats.text_statistics(docs, common).select("doc_id", "words", *[F.round(c, 6).alias(c) for c in ("mean_word_length", "symbol_share", "ended_share", "common_share")])
+    return textstats.text_statistics(docs, common).select("doc_id", "words", "mean_word_length", "symbol_share", "ended_share", "common_share")

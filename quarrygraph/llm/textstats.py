@@ -15,6 +15,8 @@ from quarrygraph.llm.rules import RuleList, induce
 MOST_LABELLED = 20_000
 SHAPES = ["junk", "table", "list"]
 OTHER = "prose"
+#: A character that is not white space, in Unicode's sense.
+SEEN = r"(?U)\S"
 
 #: What is looked for in a line, each as a share of all characters in lines that have it.
 LINE_PATTERNS = {
@@ -66,7 +68,7 @@ def text_statistics(documents: DataFrame, common_words: DataFrame) -> DataFrame:
     """
     spaced, han = common_list(common_words)
     base = documents.select("doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), r"\r\n?", "\n").alias("_t"))
-    line = F.filter(F.split("_t", "\n"), lambda x: F.length(F.trim(x)) > 0)
+    line = F.filter(F.split("_t", "\n"), lambda x: x.rlike(SEEN))
     tokens = F.filter(F.split(F.lower("_t"), r"[^\p{L}\p{M}\p{N}'’]+"), lambda x: x != "")
     base = base.select("*", line.alias("_l"), tokens.alias("_w")).select(
         "*", _count(F.col("_t"), r"[\u4e00-\u9fff]").alias("_han"), F.aggregate("_l", F.lit(0).cast("bigint"), lambda a, x: a + F.length(x)).cast("double").alias("_chars"), F.size("_l").cast("double").alias("_n"), F.size("_w").cast("double").alias("_nw")
@@ -116,7 +118,7 @@ def text_statistics(documents: DataFrame, common_words: DataFrame) -> DataFrame:
         "plain_share": _per(plain, n_p),
         "capital_share": _per(capital, n_p),
         "odd_word_share": _per(vowelless, nw),
-        "space_share": _per(F.length(t) - seen_c, F.length(t).cast("double")),
+        "space_share": F.when(seen_c > 0, _per(F.length(t) - seen_c, F.length(t).cast("double"))).otherwise(0.0),
         **{f"{k}_lines": share(p) for k, p in LINE_PATTERNS.items()},
     }
     return base.select("doc_id", *[c.alias(k) for k, c in out.items()])
@@ -133,7 +135,7 @@ def majority_labels(doc_labels: DataFrame) -> DataFrame:
 def learn_rules(documents: DataFrame, doc_labels: DataFrame, common_words: DataFrame, most: int = MOST_LABELLED) -> RuleList:
     """Rules from at most ``most`` labelled documents with non-blank text. Without usable labels every document is prose."""
     chosen = majority_labels(doc_labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    texts = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where(F.col("text").rlike(r"\S"))
+    texts = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where(F.col("text").rlike(SEEN))
     stats = text_statistics(texts, common_words).join(F.broadcast(chosen), "doc_id").orderBy("doc_id").toPandas()
     names = [c for c in stats.columns if c not in ("doc_id", "shape")]
     return induce(stats[names].to_numpy(float), stats["shape"].to_numpy(str), names, SHAPES, OTHER)
@@ -142,4 +144,4 @@ def learn_rules(documents: DataFrame, doc_labels: DataFrame, common_words: DataF
 def shapes(documents: DataFrame, doc_labels: DataFrame, common_words: DataFrame, most: int = MOST_LABELLED) -> DataFrame:
     """(doc_id, shape) of every row with non-blank text: prose, list, table or junk."""
     rules = learn_rules(documents, doc_labels, common_words, most)
-    return text_statistics(documents.where(F.col("text").rlike(r"\S")), common_words).select("doc_id", F.expr(rules.case()).alias("shape"))
+    return text_statistics(documents.where(F.col("text").rlike(SEEN)), common_words).select("doc_id", F.expr(rules.case()).alias("shape"))
