@@ -96,7 +96,7 @@ def search(vectors: DataFrame, entities: DataFrame, query: list[float], kind: st
     info = named(entities).select("entity_name", "entity_type", "description")
     rows = vectors if not kind else vectors.join(of_type(entities, kind).select("entity_name"), "entity_name", "left_semi")
     near = knn(rows, query, limit)
-    return near.join(info, "entity_name", "left").select(F.col("entity_name").alias("entity"), X.text(F.col("entity_type")).alias("type"), "source_id", F.substring(X.text(F.col("description")), 1, 200).alias("description"), as_score(F.col("distance")).alias("score"))
+    return near.join(info, "entity_name", "left").orderBy("distance", "entity_name").select(F.col("entity_name").alias("entity"), X.text(F.col("entity_type")).alias("type"), "source_id", F.substring(X.text(F.col("description")), 1, 200).alias("description"), as_score(F.col("distance")).alias("score"))
 
 
 def normalised(v: Column) -> Column:
