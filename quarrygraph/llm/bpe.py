@@ -17,7 +17,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 #: The pattern that cuts texts into words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -189,9 +188,3 @@ def count_tokens(documents: DataFrame, vocabulary: str = DEFAULT_VOCABULARY) ->
             yield pa.RecordBatch.from_arrays([doc, pa.array([len(x) for x in ids], pa.int64())], ["doc_id", "tokens"])
 
     return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, tokens bigint")
-
-
-def spread(documents: DataFrame) -> DataFrame:
-    """``documents`` in at least as many partitions as there are cores, for work that is heavy for its bytes."""
-    cores = documents.sparkSession.sparkContext.defaultParallelism
-    return documents if documents.rdd.getNumPartitions() >= cores else documents.select("doc_id", "text").repartition(2 * cores, F.col("doc_id"))
