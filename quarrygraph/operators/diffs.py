@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrygraph.functions import exprs as X
 from quarrygraph.operators.graph import edges_of, named, resolvable
+from quarrygraph.session import Scratch
 
 LIST_CAP = 50
 MODULE_CAP = 20
@@ -50,9 +51,9 @@ class BranchDiff:
     """What a head has gained and lost against its base; edges count if both ends are entities of their side."""
 
     def __init__(self, base_ent: DataFrame, base_rel: DataFrame, head_ent: DataFrame, head_rel: DataFrame):
-        self.base_ent, self.head_ent = named(base_ent), named(head_ent)
-        self.base_rel, self.head_rel = base_rel, head_rel
-        self._edges = edge_diff(resolvable(edges_of(base_rel), self.base_ent), resolvable(edges_of(head_rel), self.head_ent))
+        work = Scratch(base_ent.sparkSession)
+        self.base_ent, self.head_ent = work.cut(named(base_ent)), work.cut(named(head_ent))
+        self._edges = work.cut(edge_diff(resolvable(edges_of(base_rel), self.base_ent), resolvable(edges_of(head_rel), self.head_ent)))
 
     def entities(self) -> DataFrame:
         """(name, change, type, source_id): 'added', 'removed' or 'shared'."""

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quarrygraph.functions import exprs as X
 from quarrygraph.operators.joins import spread_join
+from quarrygraph.session import Scratch
 
 
 def named(entities: DataFrame) -> DataFrame:
@@ -134,13 +135,16 @@ class Topology:
     """
 
     def __init__(self, relations: DataFrame, entities: DataFrame, hub: int = 8, god: int = 10, module: str = "", scope: str = ""):
+        work = Scratch(relations.sparkSession)
         self.hub, self.god = hub, god
         self.relations = relations
-        self.all = analysed(entities)
+        # the findings read these several times each, so they are worked out once
+        self.all = work.cut(analysed(entities).select("entity_name", "entity_type", "source_id"))
         within = scope or (f"{module}/" if module else "")
         self.entities = self.all.where(X.text(F.col("source_id")).startswith(within)) if within else self.all
-        self.edges = edges_of(relations)
-        self.resolvable = resolvable(self.edges, self.all)
+        self.edges = work.cut(edges_of(relations))
+        self.resolvable = work.cut(resolvable(self.edges, self.all))
+        self._work, self._pairs = work, None
 
     def _info(self) -> DataFrame:
         return self.entities.select(F.col("entity_name").alias("entity"), F.coalesce("entity_type", F.lit("unknown")).alias("type"), X.text(F.col("source_id")).alias("source_id"))
@@ -181,7 +185,9 @@ class Topology:
 
     def pairs(self) -> DataFrame:
         """(src_module, tgt_module, kind, n) of edges with both ends in scope."""
-        return module_edges(self.edges, self.entities, X.module_of(F.col("source_id"), 2))
+        if self._pairs is None:
+            self._pairs = self._work.cut(module_edges(self.edges, self.entities, X.module_of(F.col("source_id"), 2)))
+        return self._pairs
 
     def coupling(self) -> DataFrame:
         """One row (cross_module, intra_module, density)."""

@@ -86,9 +86,11 @@ def hierarchy(links: DataFrame) -> DataFrame:
     trees = work.cut(nodes.join(state.where("jump IS NULL").select("node", "depth", "root", "size"), "node"))
     place = work.cut(_offsets(trees))
     for going, hot in steps:
+        old = place
         ahead = place.select(F.col("node").alias("jump"), F.col("pos").alias("before"))
         step = _follow(going, ahead, "jump", hot).select("node", "before")
         place = work.cut(place.join(step, "node", "left").select("node", (F.col("pos") + F.coalesce("before", F.lit(0))).alias("pos")))
+        work.drop(old)
     out = trees.join(place, "node").select("node", "parent", "root", "depth", "size", F.col("pos").alias("lft"), (F.col("pos") + F.col("size") - 1).alias("rgt"))
     if cyclic is not None:
         null = F.lit(None).cast("bigint")

@@ -58,16 +58,16 @@ def ship(spark: SparkSession) -> None:
 class Scratch:
     """Intermediate tables of one operator run, written as Parquet into the shared folder.
 
-    Writing a table cuts the lineage and survives lost executors. ``drop`` removes one that is no longer read;
-    what is left goes when the driver process ends.
+    Writing a table cuts the lineage and survives lost executors. ``drop`` removes one that is no longer read; what is
+    left goes with ``release`` or when the driver process ends.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/quarry-{uuid.uuid4().hex}"
         self.n = 0
-        self.paths: dict[int, str] = {}
         atexit.register(self.close)
+        _LIVE.append(self)
 
     def cut(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{self.n}"
@@ -75,12 +75,12 @@ class Scratch:
         schema = df.schema
         df.write.parquet(path)
         out = self.spark.read.schema(schema).parquet(path)
-        self.paths[id(out)] = path
+        out._scratch_path = path  # type: ignore[attr-defined]
         return out
 
     def drop(self, *frames: DataFrame) -> None:
         for df in frames:
-            if path := self.paths.pop(id(df), None):
+            if path := getattr(df, "_scratch_path", None):
                 self._delete(path)
 
     def close(self) -> None:
@@ -90,6 +90,19 @@ class Scratch:
             pass
 
     def _delete(self, path: str) -> None:
+        if path.startswith(("file:", "/")):
+            return _remove_tree(path.removeprefix("file://").removeprefix("file:"))
         jvm = self.spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Removes all intermediate tables that this process has made in the shared folder. Frames that still read them fail afterwards."""
+    for work in list(_LIVE):
+        work.spark = spark
+        work.close()
+    _LIVE.clear()
+
+
+_LIVE: list[Scratch] = []

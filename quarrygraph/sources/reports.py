@@ -15,9 +15,14 @@ def read_report(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(c), F.array().cast(df.schema[c].dataType)) for c in arrays})
 
 
-def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
-    """Metric snapshots, one JSON document per file or line; what does not parse or has no entity or time is passed over."""
-    return spark.read.schema(schema.SNAPSHOTS).json(path, multiLine=True, mode="DROPMALFORMED").where("entity IS NOT NULL AND timestamp IS NOT NULL")
+def read_snapshots(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
+    """Metric snapshots, one JSON document per line or, with ``whole_files``, per file; what does not parse or has no entity or time is passed over."""
+    return spark.read.schema(schema.SNAPSHOTS).json(path, multiLine=whole_files, mode="DROPMALFORMED").where("entity IS NOT NULL AND timestamp IS NOT NULL")
+
+
+def save_snapshots(snapshots: DataFrame, path: str) -> None:
+    """Appends snapshots as JSON lines, split by entity slug; of one entity and second the last counts when they are read with ``dedupe_snapshots``."""
+    snapshots.withColumn("slug", F.concat_ws("_", F.substring(F.regexp_replace("entity", "[^A-Za-z0-9]+", "_"), 1, 40), F.substring(F.md5("entity"), 1, 8))).write.mode("append").partitionBy("slug").json(path)
 
 
 def slug(entity: str) -> str:

@@ -425,3 +425,15 @@ def test_stream(spark, rows, tmp_path):
     assert "new" in {r[0].split(" | ")[-1] for r in rows(w.table("entities").select("description"))}
     ev = spark.createDataFrame([(datetime(2025, 1, 1, 1, 5), "a", 1.0), (datetime(2025, 1, 1, 1, 55), "a", 2.0), (datetime(2025, 1, 1, 2), "a", None)], "ts timestamp, event_type string, value double")
     assert [(r.n, r.value) for r in windowed_counts(ev).orderBy("start").collect()] == [(2, 3.0), (1, None)]
+
+
+def test_snapshot_files(spark, rows, tmp_path):
+    s = spark.createDataFrame([("a b", "f", datetime(2025, 1, 1), {"c": 1.0}, "w"), ("c", "f", datetime(2025, 1, 2), {"c": 2.0}, "w")], "entity string, entity_type string, timestamp timestamp, metrics map<string,double>, workspace string")
+    for _ in range(2):
+        reports.save_snapshots(s, str(tmp_path / "s"))
+    assert reports.slug("a b").startswith("a_b_") and (tmp_path / "s" / f"slug={reports.slug('a b')}").is_dir()
+    back = reports.read_snapshots(spark, str(tmp_path / "s"))
+    assert back.count() == 4 and rows(history.dedupe_snapshots(back.select(*s.columns)).select("entity", "metrics")) == rows(s.select("entity", "metrics"))
+    (tmp_path / "one.json").write_text(json.dumps({"entity": "e", "timestamp": "2025-01-01T00:00:00", "metrics": {"c": 1}}, indent=1))
+    (tmp_path / "bad.json").write_text("{oops")
+    assert [r.entity for r in reports.read_snapshots(spark, str(tmp_path / "*.json"), whole_files=True).collect()] == ["e"]
