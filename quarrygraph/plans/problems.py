@@ -114,9 +114,9 @@ _LAST = "QUALIFY row_number() OVER (PARTITION BY ord ORDER BY indexed_at DESC NU
 
 @query(
     "p5_relations",
-    f"WITH a AS (SELECT * FROM relations {_LAST}), b AS (SELECT * FROM relations_mirror {_LAST}) "
-    "SELECT 'relations' AS tab, CAST(ord AS VARCHAR) AS rec_key, '' AS field, 'only_main' AS diff FROM a WHERE ord NOT IN (SELECT ord FROM b) "
-    "UNION ALL SELECT 'relations', CAST(ord AS VARCHAR), '', 'only_mirror' FROM b WHERE ord NOT IN (SELECT ord FROM a) "
+    f"WITH a AS MATERIALIZED (SELECT * FROM relations WHERE ord IS NOT NULL {_LAST}), b AS MATERIALIZED (SELECT * FROM relations_mirror WHERE ord IS NOT NULL {_LAST}) "
+    "SELECT 'relations' AS tab, CAST(ord AS VARCHAR) AS rec_key, '' AS field, 'only_main' AS diff FROM a ANTI JOIN b USING (ord) "
+    "UNION ALL SELECT 'relations', CAST(ord AS VARCHAR), '', 'only_mirror' FROM b ANTI JOIN a USING (ord) "
     + "".join(f"UNION ALL SELECT 'relations', CAST(ord AS VARCHAR), '{f}', 'differs' FROM a JOIN b USING (ord) WHERE coalesce(a.{f}, '') <> coalesce(b.{f}, '') " for f in _FIELDS)
     + "UNION ALL SELECT 'relations', CAST(ord AS VARCHAR), 'weight', 'differs' FROM a JOIN b USING (ord) WHERE (a.weight IS NULL) <> (b.weight IS NULL) OR abs(a.weight - b.weight) >= 1e-9",
 )
