@@ -1,12 +1,11 @@
 """The most similar vectors of every vector (problem 6).
 
 Equal vectors are merged first: one representative each, so a group of copies, however large, is searched once. The
-representatives are dealt into shards; each shard builds a robust-pruned directed graph (``vamana``) and answers beam
-searches of all queries routed to it, streamed batch by batch. Each query's answers from its shards are merged by cosine.
+representatives are dealt into shards by hash; each shard builds a robust-pruned directed graph (``vamana``) and answers
+beam searches of all queries, streamed batch by batch. Each query's answers from the shards are merged by cosine.
 
-Up to CELL_VECTORS vectors every query asks every shard. Beyond, the space is cut into cells around centroids fitted on
-at most CENTROID_SAMPLE vectors; each cell has its own shards and a query asks those of the PROBES nearest cells, so the
-work stays in proportion to the vectors. Every vector is indexed and every vector is a query.
+Every vector is indexed, every vector is a query and every query asks every shard, whatever the size: the work grows as
+the vectors times the shards, and no neighbour is out of reach.
 """
 
 from __future__ import annotations
@@ -15,11 +14,9 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
 
 from quarrygraph.llm.vamana import Graph
 from quarrygraph.operators.counted import counted
@@ -28,10 +25,8 @@ from quarrygraph.session import Scratch
 
 SHARD_VECTORS = 40_000
 LEAST_SHARD = 600
+#: Nothing depends on it any more (every query asks every shard at any size); the tests that set it show that.
 CELL_VECTORS = 1_000_000
-PROBES = 2
-CENTROID_SAMPLE = 50_000
-MOST_CELLS = 4096
 BEAM = 48
 QUERY_BLOCK = 256
 #: Copies of a large group are dealt into parts of about this many before they are linked.
@@ -97,49 +92,18 @@ def _search(k: int, dims: int, beam: int):  # noqa: ANN202
     return run
 
 
-def _centroids(sample: np.ndarray, cells: int) -> np.ndarray:
-    rng = np.random.default_rng(5)
-    c = sample[rng.choice(len(sample), min(cells, len(sample)), replace=False)]
-    for _ in range(8):
-        home = (sample @ c.T).argmax(1)
-        total = np.zeros_like(c)
-        np.add.at(total, home, sample)
-        norm = np.linalg.norm(total, axis=1, keepdims=True)
-        c = np.where(norm > 0, total / np.where(norm > 0, norm, 1), c)
-    return c
-
-
-def _routed(reps: DataFrame, n: int, dims: int) -> tuple[DataFrame, int]:
+def _routed(reps: DataFrame, n: int) -> tuple[DataFrame, int]:
     """Adds ``shard`` (of the vector as a member) and ``asks`` (the shards it asks as a query); the number of shards."""
     cores = reps.sparkSession.sparkContext.defaultParallelism
-    cells = min(MOST_CELLS, math.ceil(n / CELL_VECTORS))
-    if cells <= 1:
-        wanted = max(math.ceil(n / SHARD_VECTORS), min(cores, n // LEAST_SHARD), 1)
-        shards = -(-wanted // cores) * cores if wanted > cores else wanted
-        return reps.select("id", "embedding", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), F.sequence(F.lit(0), F.lit(shards - 1)).alias("asks")), shards
-    sample = reps.orderBy(F.xxhash64("id")).limit(CENTROID_SAMPLE).select("embedding").toArrow()
-    centroids = _centroids(_unit(sample["embedding"], dims), cells)
-
-    @F.pandas_udf(ArrayType(IntegerType()))
-    def nearest(e: pd.Series) -> pd.Series:
-        sim = _unit(pa.array(e), dims) @ centroids.T
-        return pd.Series(list(np.argsort(-sim, axis=1, kind="stable")[:, :PROBES].astype(np.int32)))
-
-    homes = reps.select("id", "embedding", nearest("embedding").alias("cells"))
-    counts = dict(homes.groupBy(F.col("cells")[0]).count().collect())
-    parts = [max(1, math.ceil(counts.get(c, 0) / SHARD_VECTORS)) for c in range(len(centroids))]
-    first = np.concatenate([[0], np.cumsum(parts)]).tolist()
-    ranges = F.array(*[F.struct(F.lit(a).alias("lo"), F.lit(b - a).alias("n")) for a, b in zip(first[:-1], first[1:], strict=True)])
-    home = ranges[F.col("cells")[0]]
-    shard = home["lo"] + F.pmod(F.xxhash64("id"), home["n"]).cast("int")
-    asks = F.flatten(F.transform("cells", lambda c: F.sequence(ranges[c]["lo"], ranges[c]["lo"] + ranges[c]["n"] - 1)))
-    return homes.select("id", "embedding", shard.alias("shard"), asks.alias("asks")), first[-1]
+    wanted = max(math.ceil(n / SHARD_VECTORS), min(cores, n // LEAST_SHARD), 1)
+    shards = -(-wanted // cores) * cores if wanted > cores else wanted
+    return reps.select("id", "embedding", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), F.sequence(F.lit(0), F.lit(shards - 1)).alias("asks")), shards
 
 
 def nearest_vectors(reps: DataFrame, k: int, dims: int, beam: int = BEAM) -> DataFrame:
     """(id, found): up to ``k`` structs (cosine, other), best first, for each row (id, embedding) of ``reps``; ids must be unique."""
     n = reps.count()
-    routed, shards = _routed(reps, n, dims)
+    routed, shards = _routed(reps, n)
     member = routed.select("shard", F.lit(0).alias("role"), "id", "embedding")
     query = routed.select(F.explode("asks").alias("shard"), F.lit(1).alias("role"), "id", "embedding")
     rows = member.unionByName(query).repartitionById(max(shards, 1), F.col("shard")).sortWithinPartitions("shard", "role")

@@ -57,6 +57,20 @@ def test_cells(spark, monkeypatch):
     assert np.mean([at[r.other] in want[at[r.name]] for r in got]) >= 0.9
 
 
+def test_every_shard_is_asked_beyond_cell_vectors(spark, monkeypatch):
+    """Sixteen times CELL_VECTORS of unclustered vectors of 64 numbers, whose neighbours lie in any cell."""
+    monkeypatch.setattr(neighbours, "CELL_VECTORS", 150)
+    monkeypatch.setattr(neighbours, "SHARD_VECTORS", 150)
+    x = np.random.default_rng(8).normal(size=(2400, 64))
+    names = [f"n{i:04d}" for i in range(2400)]
+    _, want = brute(x.astype(np.float32).astype(float), 10)
+    at = {n: i for i, n in enumerate(names)}
+    got = neighbours.most_similar(frame(spark, names, x)).collect()
+    recall = np.mean([at[r.other] in want[at[r.name]] for r in got])
+    print("recall", recall)
+    assert len(got) == 24_000 and recall >= 0.9
+
+
 def test_copies(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "COPIES_PART", 20)
     rng = np.random.default_rng(6)
