@@ -157,12 +157,14 @@ class Workspace:
     @staticmethod
     def _last(rows: DataFrame, name: str) -> DataFrame:
         keys = KEYS[name]
-        rest = [c for c in rows.columns if c not in keys and not rows.schema[c].dataType.typeName() == "map"]
+        # maps cannot be compared, so they are carried as sorted entries
+        maps = [c for c in rows.columns if rows.schema[c].dataType.typeName() == "map"]
+        rest = [c for c in rows.columns if c not in [*keys, *maps]]
         order = (["ord"] if "ord" in rows.columns else []) + [c for c in rest if c != "ord"]
-        if not order:
+        if not order and not maps:
             return rows.dropDuplicates(keys)
-        best = rows.groupBy(*keys).agg(F.max(F.struct(*order)).alias("_r"))
-        return best.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in order])
+        best = rows.groupBy(*keys).agg(F.max(F.struct(*order, *[F.array_sort(F.map_entries(c)).alias(c) for c in maps])).alias("_r"))
+        return best.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in order], *[F.map_from_entries(f"_r.{c}").alias(c) for c in maps])
 
     def clear(self) -> None:
         """Empties the graph, not the metadata."""
