@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import shutil
+import tempfile
+from typing import TextIO
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -195,14 +200,50 @@ def markdown(df: DataFrame, limit: int = 50) -> str:
 
 
 def envelope(f) -> dict[str, object]:  # noqa: ANN001
-    """{'success': true, 'data': rows} of a function that gives a DataFrame or a dict of them, else the error."""
+    """{'success': true, 'data': all rows} of a function that gives a DataFrame or a dict of them, else the error."""
 
-    def rows(x: object, limit: int = 1000) -> object:
+    def rows(x: object) -> object:
         if isinstance(x, DataFrame):
-            return [r.asDict(True) for r in x.limit(limit).collect()]
+            return [r.asDict(True) for r in x.toLocalIterator()]
         return {k: rows(v) for k, v in x.items()} if isinstance(x, dict) else x
 
     try:
         return {"success": True, "data": rows(f())}
     except Exception as e:  # noqa: BLE001
-        return {"success": False, "error": {"code": type(e).__name__, "message": str(e)}}
+        return _failure(e)
+
+
+def _failure(e: Exception) -> dict[str, object]:
+    return {"success": False, "error": {"code": type(e).__name__, "message": str(e)}}
+
+
+def print_envelope(f, out: TextIO) -> bool:  # noqa: ANN001
+    """Writes the envelope of ``f`` as JSON with all rows, which go through a file, so the driver never holds a result; whether it succeeded."""
+    text = lambda x: json.dumps(x, default=str, ensure_ascii=False)
+
+    def put(x: object, to: TextIO) -> None:
+        if isinstance(x, DataFrame):
+            to.write("[")
+            for i, r in enumerate(x.toLocalIterator()):
+                to.write(", " * (i > 0) + text(r.asDict(True)))
+            to.write("]")
+        elif isinstance(x, dict):
+            to.write("{")
+            for i, (k, v) in enumerate(x.items()):
+                to.write(", " * (i > 0) + text(str(k)) + ": ")
+                put(v, to)
+            to.write("}")
+        else:
+            to.write(text(x))
+
+    with tempfile.TemporaryFile("w+", encoding="utf-8") as data:
+        try:
+            put(f(), data)
+        except Exception as e:  # noqa: BLE001
+            out.write(text(_failure(e)) + "\n")
+            return False
+        data.seek(0)
+        out.write('{"success": true, "data": ')
+        shutil.copyfileobj(data, out)
+        out.write("}\n")
+    return True

@@ -10,7 +10,7 @@ import inspect
 import json
 import sys
 
-from quarrygraph.api import Quarry, envelope
+from quarrygraph.api import Quarry, print_envelope
 
 COMMANDS = ["list", "info", "find", "find_with_relations", "graph", "deps", "overview", "topology", "compare", "similar", "import_ndjson", "debt", "drop"]
 
@@ -36,9 +36,10 @@ def main(argv: list[str]) -> int:
     spark = SparkSession.builder.appName("quarrygraph").getOrCreate()
     method = getattr(Quarry(spark, argv[0]), argv[1])
     unknown = options.keys() - inspect.signature(method).parameters.keys()
-    out = {"success": False, "error": {"code": "usage", "message": f"unknown options {sorted(unknown)}"}} if unknown else envelope(lambda: method(*args, **options))
-    print(json.dumps(out, default=str, ensure_ascii=False))
-    return 0 if out["success"] else 1
+    if unknown:
+        print(json.dumps({"success": False, "error": {"code": "usage", "message": f"unknown options {sorted(unknown)}"}}, ensure_ascii=False))
+        return 1
+    return 0 if print_envelope(lambda: method(*args, **options), sys.stdout) else 1
 
 
 if __name__ == "__main__":
