@@ -41,14 +41,17 @@ def digest() -> object:
     return F.try_variant_get(F.try_parse_json("properties_json"), "$.content_hash", "string")
 
 
-def commits(spark: SparkSession, d: str) -> DataFrame:
-    """Orders as commits of customers to the parts of which they order at least 49."""
-    li = table(spark, d, "lineitem").where("l_quantity >= 49").groupBy("l_orderkey", "l_partkey").agg(F.sum("l_quantity").cast("bigint").alias("added"), F.sum("l_linenumber").cast("bigint").alias("deleted"))
+def commits(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    """Orders as commits of customers to parts: ``whole``, all of them by o_custkey, else to the parts of which they order at least 49, by 40 authors."""
+    li = table(spark, d, "lineitem")
+    if not whole:
+        li = li.where("l_quantity >= 49")
+    li = li.groupBy("l_orderkey", "l_partkey").agg(F.sum("l_quantity").cast("bigint").alias("added"), F.sum("l_linenumber").cast("bigint").alias("deleted"))
     f = F.struct(F.format_string("src/p%d/m%d.py", F.col("l_partkey") % 7, F.col("l_partkey")).alias("path"), "added", "deleted")
     files = li.groupBy("l_orderkey").agg(F.collect_list(f).alias("files"))
     o = table(spark, d, "orders")
     subject = F.concat(F.when(F.col("o_orderkey") % 5 == 0, "fix: ").otherwise("feat: "), F.lower("o_orderpriority"))
-    return o.join(files, F.col("o_orderkey") == F.col("l_orderkey")).select(F.lower(F.hex("o_orderkey")).alias("sha"), F.concat(F.lit("c"), F.col("o_custkey") % 40).alias("author"), F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).alias("ts"), subject.alias("message"), "files")
+    return o.join(files, F.col("o_orderkey") == F.col("l_orderkey")).select(F.lower(F.hex("o_orderkey")).alias("sha"), F.concat(F.lit("c"), F.col("o_custkey") if whole else F.col("o_custkey") % 40).alias("author"), F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).alias("ts"), subject.alias("message"), "files")
 
 
 # the same in SQL
@@ -109,3 +112,5 @@ COMMITS = """li AS (SELECT l_orderkey, l_partkey, CAST(sum(l_quantity) AS BIGINT
  hs AS (SELECT *, CASE WHEN lines_added + lines_deleted > 0 THEN least(100, CAST(trunc(commits * log10(lines_added + lines_deleted + 1) * 10) AS INTEGER)) ELSE 0 END AS score FROM fm),
  hot AS (SELECT row_number() OVER (ORDER BY score DESC, file) AS rank, file, commits, greatest(100, (lines_added + lines_deleted) // 2) AS lines, score FROM hs WHERE score >= 20),
  silo AS (SELECT file, primary_author AS owner, authors AS contributors, CAST(CASE WHEN authors = 1 THEN 1.0 ELSE 0.75 END AS DOUBLE) AS ownership, commits, CASE WHEN (SELECT count(DISTINCT author) FROM c) = 1 THEN 'informational' WHEN authors = 1 THEN 'critical' ELSE 'high' END AS risk FROM fm WHERE authors <= 2)"""
+#: The same over all rows, with the customer as author.
+WHOLE_COMMITS = COMMITS.replace(" WHERE l_quantity >= 49", "").replace("(o_custkey % 40)", "o_custkey")
