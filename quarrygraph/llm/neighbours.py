@@ -23,7 +23,7 @@ from quarrygraph.operators.counted import counted
 from quarrygraph.operators.joins import spread_join
 from quarrygraph.session import Scratch
 
-SHARD_VECTORS = 40_000
+SHARD_VECTORS = 15_000
 LEAST_SHARD = 600
 #: Nothing depends on it any more (every query asks every shard at any size); the tests that set it show that.
 CELL_VECTORS = 1_000_000

@@ -71,6 +71,12 @@ def test_every_shard_is_asked_beyond_cell_vectors(spark, monkeypatch):
     assert len(got) == 24_000 and recall >= 0.9
 
 
+def test_shards_are_no_larger_than_measured(spark):
+    reps = spark.createDataFrame([(1, [1.0])], "id bigint, embedding array<float>")
+    for n in (50_000, 600_000, 5_000_000):
+        assert n / neighbours._routed(reps, n)[1] <= 15_000
+
+
 def test_copies(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "COPIES_PART", 20)
     rng = np.random.default_rng(6)
