@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from quarrygraph.llm.bpe import count_tokens
 
 ITEMS_PER_PACK = 20_000
+VARIANT_BITS = 56
 
 
 def fill(sizes: list[int], capacity: int) -> list[int]:
@@ -65,7 +66,8 @@ def kinds(container_kinds: DataFrame) -> list[tuple[str, int, str]]:
 def pack(sizes: DataFrame, capacities: dict[str, int], packs: int) -> DataFrame:
     """(container_kind, container, doc_id, piece, tokens): each text placed once in every kind of container.
 
-    ``sizes`` has one row (doc_id, tokens) per text. A text longer than the capacity is cut into full pieces, each a
+    ``sizes`` has one row (doc_id, tokens) per text, and may have the hash ``h`` of the text, by which texts without doc_id
+    are dealt. A text longer than the capacity is cut into full pieces, each a
     container of its own, and a rest that is packed like a text; no other text is cut. Empty texts share a container.
     Containers are numbered within their kind; all pieces of one container have the same number.
     """
@@ -73,13 +75,16 @@ def pack(sizes: DataFrame, capacities: dict[str, int], packs: int) -> DataFrame:
     if not capacities:
         return sizes.sparkSession.createDataFrame([], f"container_kind string, container bigint, doc_id {kind}, piece int, tokens int")
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("container_kind"), F.lit(c).alias("capacity")) for k, c in sorted(capacities.items())]))
-    items = sizes.select("doc_id", F.col("tokens").cast("bigint").alias("tokens"), each.alias("k")).select("doc_id", "tokens", "k.container_kind", "k.capacity")
-    items = items.withColumn("pack", F.pmod(F.xxhash64("doc_id"), F.lit(packs)))
-    schema = f"container_kind string, container bigint, doc_id {kind}, piece int, tokens int"
+    dealt = F.when(F.col("doc_id").isNull(), F.xxhash64("h")).otherwise(F.xxhash64("doc_id")) if "h" in sizes.columns else F.xxhash64("doc_id")
+    # pandas would turn a column of numbers with nulls into floats
+    number = F.coalesce("doc_id", F.lit(0).cast(kind)).alias("doc_id")
+    items = sizes.select(number, F.col("doc_id").isNull().alias("nameless"), F.pmod(dealt, F.lit(packs)).alias("pack"), F.col("tokens").cast("bigint").alias("tokens"), each.alias("k")).select("doc_id", "nameless", "pack", "tokens", "k.container_kind", "k.capacity")
+    schema = f"container_kind string, container bigint, doc_id {kind}, nameless boolean, piece int, tokens int"
 
     def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         name, pack_no = key[0], int(key[1])
-        rows = rows.sort_values("doc_id", kind="stable")
+        rows = rows.sort_values(["nameless", "doc_id", "tokens"])
+        unnamed = rows["nameless"].to_list()
         docs, tokens, capacity = rows["doc_id"].to_list(), rows["tokens"].to_list(), int(rows["capacity"].iloc[0])
         rests, whole = [], []
         for i, t in enumerate(tokens):
@@ -89,31 +94,50 @@ def pack(sizes: DataFrame, capacities: dict[str, int], packs: int) -> DataFrame:
         place = fill([s for _, s in rests], capacity)
         used = max(place, default=-1) + 1
         base = pack_no << 32
-        out = [(name, base + used + n, docs[i], p, capacity) for n, (i, p) in enumerate(whole)]
-        out += [(name, base + b, docs[i], p, s) for i, (b, (p, s)) in enumerate(zip(place, rests, strict=True))]
-        return pd.DataFrame(out, columns=["container_kind", "container", "doc_id", "piece", "tokens"])
+        out = [(name, base + used + n, docs[i], unnamed[i], p, capacity) for n, (i, p) in enumerate(whole)]
+        out += [(name, base + b, docs[i], unnamed[i], p, s) for i, (b, (p, s)) in enumerate(zip(place, rests, strict=True))]
+        return pd.DataFrame(out, columns=["container_kind", "container", "doc_id", "nameless", "piece", "tokens"])
 
-    return items.groupBy("container_kind", "pack").applyInPandas(one, schema)
+    placed = items.groupBy("container_kind", "pack").applyInPandas(one, schema)
+    return placed.select("container_kind", "container", F.when(~F.col("nameless"), F.col("doc_id")).alias("doc_id"), "piece", "tokens")
 
 
-def pack_documents(documents: DataFrame, container_kinds: DataFrame, tokenizers: str = "/opt/tokenizers") -> DataFrame:
+def pack_documents(documents: DataFrame, container_kinds: DataFrame, tokenizers: str = "/opt/tokenizers", nameless: bool = False) -> DataFrame:
     """``pack`` of the whole texts of ``documents`` in the tokens of each kind's tokenizer.
 
-    A null or empty text has no tokens and is placed too. Rows with the same doc_id are one text, the longest; rows
-    without doc_id are left out, as nothing names them. No kinds or no documents give no rows.
+    A null or empty text has no tokens and is placed too. Rows with the same doc_id and text are one text. Rows without
+    doc_id are left out, or with ``nameless`` each placed under a null doc_id. A kind of several capacities or tokenizers
+    is filled for each; the container numbers of its n-th (by capacity, from 0) begin at n << VARIANT_BITS. No kinds or no
+    documents give no rows.
     """
     packs = max(1, -(-documents.count() // ITEMS_PER_PACK))
-    found = kinds(container_kinds)
+    key = F.struct("doc_id", F.xxhash64("text").alias("h"), F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).alias("row"))
+    runs: dict[tuple[str, int], dict[str, int]] = {}
+    seen: dict[str, int] = {}
+    for k, c, t in kinds(container_kinds):
+        n = seen[k] = seen.get(k, -1) + 1
+        runs.setdefault((t, n), {})[k] = c
     out = None
-    for name in sorted({t for _, _, t in found}):
-        counts = count_tokens(documents, f"{tokenizers}/{name}.json").where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("tokens").alias("tokens"))
-        part = pack(counts, {k: c for k, c, t in found if t == name}, packs)
+    for (name, n), capacities in sorted(runs.items()):
+        counts = count_tokens(documents.select(key.alias("doc_id"), "text"), f"{tokenizers}/{name}.json").select("doc_id.*", "tokens")
+        kept = counts if nameless else counts.where("doc_id IS NOT NULL")
+        texts = kept.groupBy("doc_id", "h", "row").agg(F.max("tokens").alias("tokens"))
+        part = pack(texts, capacities, packs).withColumn("container", F.col("container") + F.lit(n << VARIANT_BITS))
         out = part if out is None else out.unionByName(part)
     return out if out is not None else pack(documents.select("doc_id", F.lit(0).alias("tokens")), {}, packs)
 
 
-def filling(placed: DataFrame, capacities: dict[str, int]) -> DataFrame:
+def capacities_of(found: list[tuple[str, int, str]]) -> dict[str, list[int]]:
+    """The capacities of each of ``kinds``, in the order in which its containers are numbered."""
+    out: dict[str, list[int]] = {}
+    for k, c, _ in found:
+        out.setdefault(k, []).append(c)
+    return out
+
+
+def filling(placed: DataFrame, capacities: dict[str, int] | dict[str, list[int]]) -> DataFrame:
     """(container_kind, texts, containers, tokens, spare_share) of the result of ``pack``."""
-    cap = F.coalesce(*[F.when(F.col("container_kind") == k, c) for k, c in capacities.items()], F.lit(0))
+    each = [(k, n, c) for k, cs in capacities.items() for n, c in enumerate(cs if isinstance(cs, list) else [cs])]
+    cap = F.coalesce(*[F.when((F.col("container_kind") == k) & (F.shiftright("container", VARIANT_BITS) == n), c) for k, n, c in each], F.lit(0))
     bins = placed.groupBy("container_kind", "container").agg(F.sum("tokens").alias("tokens"), F.sum((F.col("piece") == 0).cast("int")).alias("texts"))
     return bins.groupBy("container_kind").agg(F.sum("texts").alias("texts"), F.count(F.lit(1)).alias("containers"), F.sum("tokens").alias("tokens"), F.round(1 - F.sum("tokens") / F.sum(cap), 6).alias("spare_share"))

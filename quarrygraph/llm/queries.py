@@ -40,13 +40,13 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
 
 @query("p8_containers")
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
-    return packing.pack_documents(table(spark, d, "documents"), table(spark, d, "container_kinds"))
+    return packing.pack_documents(table(spark, d, "documents"), table(spark, d, "container_kinds"), nameless=True)
 
 
 @query("p8_filling")
 def p8_filling(spark: SparkSession, d: str) -> DataFrame:
     kinds = table(spark, d, "container_kinds")
-    return packing.filling(packing.pack_documents(table(spark, d, "documents"), kinds), {k: c for k, c, _ in packing.kinds(kinds)})
+    return packing.filling(packing.pack_documents(table(spark, d, "documents"), kinds, nameless=True), packing.capacities_of(packing.kinds(kinds)))
 
 
 def _texts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:

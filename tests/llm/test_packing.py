@@ -68,3 +68,18 @@ def test_many_packs_keep_every_text(spark):
     placed = packing.pack(sizes, {"k": 16}, 7)
     assert placed.select("doc_id").distinct().count() == placed.count() == 500
     assert placed.groupBy("container").agg(F.sum("tokens").alias("t")).where("t > 16").count() == 0
+
+
+def test_every_text_in_every_capacity(spark):
+    kinds = spark.createDataFrame([("k", 4, "byte_bpe_50k"), ("k", 64, "byte_bpe_50k")], "container_kind string, capacity_tokens int, tokenizer string")
+    big = 2**60 + 1
+    rows = [(big, "one two three"), (big, "one"), (big, "one"), (None, "one two"), (None, "one two"), (7, None)]
+    placed = packing.pack_documents(spark.createDataFrame(rows, "doc_id bigint, text string"), kinds, nameless=True)
+    texts = Counter(r.doc_id for r in placed.collect() if r.piece == 0)
+    assert texts == {big: 4, None: 4, 7: 2}
+    found = packing.filling(placed, packing.capacities_of(packing.kinds(kinds))).first()
+    load = {r.container: r.t for r in placed.groupBy("container").agg(F.sum("tokens").alias("t")).collect()}
+    small = {c: t for c, t in load.items() if c < 1 << packing.VARIANT_BITS}
+    large = {c: t for c, t in load.items() if c not in small}
+    assert len(large) == 1 and max(small.values()) <= 4 and sum(small.values()) == sum(large.values())
+    assert found.texts == 10 and found.spare_share == pytest.approx(1 - sum(load.values()) / (4 * len(small) + 64), abs=1e-6)
