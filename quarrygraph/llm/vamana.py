@@ -13,7 +13,7 @@ import numpy as np
 DEGREE = 28
 RELAXED = 1.05
 BUILD_WIDTH = 56
-BATCH = 512
+BATCH = 256
 #: Nodes expanded per search step, and nodes that every search starts from.
 EXPAND = 4
 STARTS = 8

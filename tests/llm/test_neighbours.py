@@ -45,36 +45,44 @@ def test_recall_and_pairs(spark):
     assert pairs == {tuple(sorted((names[i], names[j]))) for i in range(1500) for j in want[i] if sims[i, j] >= 0.97}
 
 
-def test_cells(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "CELL_VECTORS", 400)
-    monkeypatch.setattr(neighbours, "SHARD_VECTORS", 150)
-    rng = np.random.default_rng(5)
-    x = rng.normal(size=(30, 8))[rng.integers(0, 30, 1200)] + rng.normal(size=(1200, 8)) * 0.2
-    names = [f"n{i:04d}" for i in range(1200)]
-    _, want = brute(x.astype(np.float32).astype(float), 10)
+def recall_in_cells(spark, monkeypatch, x, cells, dims=64):
+    """Recall of the ten nearest when about so many cells are forced, and the number of cells asked."""
+    monkeypatch.setattr(neighbours, "CELL", -(-neighbours.MEMBER_OF * len(x) // cells))
+    asked, real = [], neighbours.cells_to_ask
+    monkeypatch.setattr(neighbours, "cells_to_ask", lambda *a: asked.append((len(a[3].fine), real(*a))) or asked[-1][1])
+    names = [f"n{i:05d}" for i in range(len(x))]
+    sims, _ = brute(x.astype(np.float32).astype(float), 10)
+    least = np.sort(sims, axis=1)[:, -10]
     at = {n: i for i, n in enumerate(names)}
-    got = neighbours.most_similar(frame(spark, names, x), dims=8).collect()
-    assert np.mean([at[r.other] in want[at[r.name]] for r in got]) >= 0.9
+    got = neighbours.most_similar(frame(spark, names, x), dims=dims).collect()
+    assert len(got) == 10 * len(x) == len({(r.name, r.other) for r in got})
+    return np.mean([sims[at[r.name], at[r.other]] >= least[at[r.name]] - 1e-9 for r in got]), asked[0]
 
 
-def test_every_shard_is_asked_beyond_cell_vectors(spark, monkeypatch):
-    """Sixteen times CELL_VECTORS of unclustered vectors of 64 numbers, whose neighbours lie in any cell."""
-    monkeypatch.setattr(neighbours, "CELL_VECTORS", 150)
-    monkeypatch.setattr(neighbours, "SHARD_VECTORS", 150)
-    x = np.random.default_rng(8).normal(size=(2400, 64))
-    names = [f"n{i:04d}" for i in range(2400)]
-    _, want = brute(x.astype(np.float32).astype(float), 10)
-    at = {n: i for i, n in enumerate(names)}
-    got = neighbours.most_similar(frame(spark, names, x)).collect()
-    recall = np.mean([at[r.other] in want[at[r.name]] for r in got])
-    print("recall", recall)
-    assert len(got) == 24_000 and recall >= 0.9
-
-
-def test_shards_are_no_larger_than_measured(spark):
-    reps = spark.createDataFrame([(1, [1.0])], "id bigint, embedding array<float>")
-    for n in (50_000, 600_000, 5_000_000):
-        assert n / neighbours._routed(reps, n)[1] <= 15_000
+@pytest.mark.parametrize("cells", [3, 30])
+def test_recall_with_cells_of_clustered_vectors(spark, monkeypatch, cells):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 64))[rng.integers(0, 60, 3000)] + rng.normal(size=(3000, 64)) * 0.5
+    recall, (made, asked) = recall_in_cells(spark, monkeypatch, x, cells)
+    assert recall >= 0.9 and made >= cells * 0.7 and asked < max(3, made * 0.6)
+
+
+def test_recall_with_cells_of_vectors_without_order(spark, monkeypatch):
+    """Neighbours lie in any cell: nearly all are asked then."""
+    recall, (made, asked) = recall_in_cells(spark, monkeypatch, np.random.default_rng(8).normal(size=(2400, 64)), 16)
+    assert recall >= 0.9 and made >= 12 and asked >= made / 2
+
+
+def test_one_dense_region_is_split(spark, monkeypatch):
+    """Most vectors in one place, those of few numbers apart: cells follow the density and the largest parts stay bounded."""
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(size=64) + rng.normal(size=(1800, 64)) * 0.02, rng.normal(size=(600, 64))])
+    recall, _ = recall_in_cells(spark, monkeypatch, x, 16)
+    assert recall >= 0.9
+    reps = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "id bigint, embedding array<float>")
+    routed, shards = neighbours._routed(reps, len(x), 64, 10)
+    sizes = [r["count"] for r in routed.where("role = 0").groupBy("shard").count().collect()]
+    assert sum(sizes) == 2 * len(x) and max(sizes) <= 3 * neighbours.CELL and len(sizes) <= shards
 
 
 def test_copies(spark, monkeypatch):
