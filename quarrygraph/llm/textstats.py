@@ -150,7 +150,7 @@ def learn_rules(documents: DataFrame, doc_labels: DataFrame, common_words: DataF
     """Rules from at most ``most`` labelled documents with non-blank text. Without usable labels every document is prose."""
     chosen = majority_labels(doc_labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     texts = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where(F.col("text").rlike(SEEN))
-    stats = text_statistics(texts, common_words).join(F.broadcast(chosen), "doc_id").orderBy("doc_id").toPandas()
+    stats = text_statistics(texts, common_words).join(F.broadcast(chosen), "doc_id").toPandas().sort_values("doc_id", kind="stable")
     names = [c for c in stats.columns if c not in ("doc_id", "shape")]
     return induce(stats[names].to_numpy(float), stats["shape"].to_numpy(str), names, SHAPES, OTHER)
 
@@ -158,4 +158,6 @@ def learn_rules(documents: DataFrame, doc_labels: DataFrame, common_words: DataF
 def shapes(documents: DataFrame, doc_labels: DataFrame, common_words: DataFrame, most: int = MOST_LABELLED) -> DataFrame:
     """(doc_id, shape) of every row with non-blank text: prose, list, table or junk."""
     rules = learn_rules(documents, doc_labels, common_words, most)
-    return text_statistics(documents.where(F.col("text").rlike(SEEN)), common_words).select("doc_id", F.expr(rules.case()).alias("shape"))
+    stats = text_statistics(documents.where(F.col("text").rlike(SEEN)), common_words)
+    # exploding keeps a filter on the shape from being pushed below it, which would work out every statistic twice
+    return stats.select("doc_id", F.explode(F.array(F.expr(rules.case()))).alias("shape"))
