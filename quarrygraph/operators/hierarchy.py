@@ -3,11 +3,14 @@
 Upward, every node's subtree size is summed; downward, prefix sums over siblings give each node a range of preorder
 positions, [lft, rgt], that holds exactly its descendants. Both passes work by doubling: round k knows the 2^k-th
 ancestor of every node, so a tree of depth d takes log2(d) rounds. Nodes for which no round finds a top are what the
-upward pass cannot process: they lie on a cycle or lead into one.
+upward pass cannot process: they lie on a cycle or lead into one. Roots and depths are known after the upward pass;
+the ranges are worked out where they are asked for (descendants, ancestors, paths).
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,44 +38,50 @@ def _follow(left: DataFrame, right: DataFrame, key: str, hot: DataFrame | None,
     return left.join(right, key, how) if hot is None else spread_join(left, right, key, hot, "followers", how)
 
 
-def hierarchy(links: DataFrame) -> DataFrame:
-    """(node, parent, root, depth, size, lft, rgt), one row per node of ``links`` (child, parent).
+@dataclass
+class _Upward:
+    """What the upward pass leaves: all nodes, those of trees with their sizes, those on or below cycles, and each round's jumps."""
 
-    Tops have a null parent, depth 0 and themselves as root; ``size`` counts the node and its descendants, whose
-    positions within the root are lft..rgt (the top has 0). Nodes on a cycle have depth -1, nodes whose ancestors lead
-    into one -2, both with the cycle's smallest name as root and null size, lft and rgt. A child with several parents
-    keeps the smallest name; rows with a null end are no links; repeated links count once; no links give no rows.
-    """
-    spark = links.sparkSession
-    work = Scratch(spark)
+    work: Scratch
+    nodes: DataFrame
+    trees: DataFrame
+    cyclic: DataFrame | None
+    steps: list[tuple[DataFrame, DataFrame | None]]
+
+
+def _upward(links: DataFrame, keep_steps: bool) -> _Upward:
+    work = Scratch(links.sparkSession)
     parents = links.select("child", "parent").where("child IS NOT NULL AND parent IS NOT NULL").groupBy(F.col("child").alias("node")).agg(F.min("parent").alias("parent"))
-    parents = work.cut(parents)
-    nodes = work.cut(parents.select("node", "parent").union(parents.select("parent", F.lit(None).cast("string"))).groupBy("node").agg(F.max("parent").alias("parent")))
-    total = nodes.count()
+    ends = F.array(F.struct("node", "parent"), F.struct(F.col("parent").alias("node"), F.lit(None).cast("string").alias("parent")))
+    n, inner = F.count(F.lit(1)), F.count_if(F.col("parent").isNotNull())
+    nodes, told = work.told(parents.select(F.explode(ends).alias("e")).select("e.*").groupBy("node").agg(F.max("parent").alias("parent")), n=n, active=inner)
+    total, active = told["n"], told["active"]
     top = F.col("parent").isNull()
-    state = work.cut(
-        nodes.select("node", F.col("parent").alias("jump"), F.when(top, 0).cast("bigint").alias("depth"), F.when(top, F.col("node")).alias("root"), F.col("node").alias("low"), F.lit(1).cast("bigint").alias("size"), F.lit(0).alias("moved"))
+    state = nodes.select(
+        "node", F.col("parent").alias("jump"), F.when(top, 0).cast("bigint").alias("depth"), F.when(top, F.col("node")).alias("root"), F.col("node").alias("low"), F.lit(1).cast("bigint").alias("size"), F.lit(0).alias("moved")
     )
     steps: list[tuple[DataFrame, DataFrame | None]] = []
-    active, images, k = state.where("jump IS NOT NULL").count(), -1, 0
-    followers = None
+    images, k, followers = -1, 0, None
     while active:
+        old = (state, followers)
         going = state.where("jump IS NOT NULL")
-        followers = work.cut(going.groupBy("jump").agg(F.sum("size").alias("more"), F.count(F.lit(1)).alias("followers")))
-        seen, widest = followers.agg(F.count(F.lit(1)), F.max("followers")).first()
-        hot = followers if widest > HOT_FOLLOWERS else None
-        steps.append((going.select("node", "jump"), hot))
+        followers, told = work.told(going.groupBy("jump").agg(F.sum("size").alias("more"), F.count(F.lit(1)).alias("followers")), seen=n, widest=F.max("followers"))
+        seen, hot = told["seen"], followers if told["widest"] > HOT_FOLLOWERS else None
+        if keep_steps:
+            steps.append((going.select("node", "jump"), hot))
         ahead = state.select(F.col("node").alias("jump"), F.col("jump").alias("jump2"), F.col("depth").alias("depth2"), F.col("root").alias("root2"), F.col("low").alias("low2"))
         on = _follow(going, ahead, "jump", hot).select(
             "node", F.col("jump2").alias("jump"), (F.col("depth2") + F.lit(1 << k)).alias("depth"), F.col("root2").alias("root"), F.least("low", "low2").alias("low"), "size", (F.col("low2") < F.col("low")).cast("int").alias("moved")
         )
         both = state.where("jump IS NULL").select(*on.columns[:-1], F.lit(0).alias("moved")).unionByName(on)
         grown = both.join(followers.select(F.col("jump").alias("node"), "more"), "node", "left")
-        new = work.cut(grown.select("node", "jump", "depth", "root", "low", F.least(F.col("size") + F.coalesce("more", F.lit(0)), F.lit(total)).alias("size"), "moved"))
-        left, moved = new.where("jump IS NOT NULL").agg(F.count(F.lit(1)), F.coalesce(F.sum("moved"), F.lit(0))).first()
+        grown = grown.select("node", "jump", "depth", "root", "low", F.least(F.col("size") + F.coalesce("more", F.lit(0)), F.lit(total)).alias("size"), "moved")
+        state, told = work.told(grown, left=F.count_if(F.col("jump").isNotNull()), moved=F.coalesce(F.sum(F.when(F.col("jump").isNotNull(), F.col("moved"))), F.lit(0)))
         k += 1
-        still = left == active and seen == images and not moved
-        state, active, images = new, left, seen
+        still = told["left"] == active and seen == images and not told["moved"]
+        active, images = told["left"], seen
+        if not keep_steps:
+            work.drop(*[f for f in old if f is not None])
         if still:
             break
     cyclic = None
@@ -83,18 +92,40 @@ def hierarchy(links: DataFrame) -> DataFrame:
         ahead = ring.select(F.col("node").alias("jump"), F.col("low").alias("root"))
         tails = _follow(going.join(ring, "node", "left_anti").select("node", "jump"), ahead, "jump", followers)
         cyclic = on_ring.select("node", F.col("ring_low").alias("root"), F.lit(-1).cast("bigint").alias("depth")).unionByName(tails.select("node", "root", F.lit(-2).cast("bigint").alias("depth")))
-    trees = work.cut(nodes.join(state.where("jump IS NULL").select("node", "depth", "root", "size"), "node"))
-    place = work.cut(_offsets(trees))
-    for going, hot in steps:
+    trees = nodes.join(state.where("jump IS NULL").select("node", "depth", "root", "size"), "node")
+    return _Upward(work, nodes, trees, cyclic, steps)
+
+
+def depths(links: DataFrame) -> DataFrame:
+    """(node, parent, root, depth, size) as in ``hierarchy``, from the upward pass alone."""
+    up = _upward(links, keep_steps=False)
+    out = up.trees.select("node", "parent", "root", "depth", "size")
+    if up.cyclic is None:
+        return out
+    return out.unionByName(up.nodes.join(up.cyclic, "node").select("node", "parent", "root", "depth", F.lit(None).cast("bigint").alias("size")))
+
+
+def hierarchy(links: DataFrame) -> DataFrame:
+    """(node, parent, root, depth, size, lft, rgt), one row per node of ``links`` (child, parent).
+
+    Tops have a null parent, depth 0 and themselves as root; ``size`` counts the node and its descendants, whose
+    positions within the root are lft..rgt (the top has 0). Nodes on a cycle have depth -1, nodes whose ancestors lead
+    into one -2, both with the cycle's smallest name as root and null size, lft and rgt. A child with several parents
+    keeps the smallest name; rows with a null end are no links; repeated links count once; no links give no rows.
+    """
+    up = _upward(links, keep_steps=True)
+    trees = up.work.cut(up.trees)
+    place = up.work.cut(_offsets(trees))
+    for going, hot in up.steps:
         old = place
         ahead = place.select(F.col("node").alias("jump"), F.col("pos").alias("before"))
         step = _follow(going, ahead, "jump", hot).select("node", "before")
-        place = work.cut(place.join(step, "node", "left").select("node", (F.col("pos") + F.coalesce("before", F.lit(0))).alias("pos")))
-        work.drop(old)
+        place = up.work.cut(place.join(step, "node", "left").select("node", (F.col("pos") + F.coalesce("before", F.lit(0))).alias("pos")))
+        up.work.drop(old, going)
     out = trees.join(place, "node").select("node", "parent", "root", "depth", "size", F.col("pos").alias("lft"), (F.col("pos") + F.col("size") - 1).alias("rgt"))
-    if cyclic is not None:
+    if up.cyclic is not None:
         null = F.lit(None).cast("bigint")
-        out = out.unionByName(nodes.join(cyclic, "node").select("node", "parent", "root", "depth", null.alias("size"), null.alias("lft"), null.alias("rgt")))
+        out = out.unionByName(up.nodes.join(up.cyclic, "node").select("node", "parent", "root", "depth", null.alias("size"), null.alias("lft"), null.alias("rgt")))
     return out
 
 
@@ -117,6 +148,8 @@ def descendants(tree: DataFrame) -> DataFrame:
     """
     t = tree.where("lft IS NOT NULL")
     wide = t.where("size > 1").select("root", F.col("node").alias("ancestor"), F.col("depth").alias("above"), "lft", "rgt", F.explode(F.expr(f"sequence(lft + 1, rgt, {UNFOLD})")).alias("lo"))
+    # the steps of a long range are dealt over all tasks before they are unfolded; their number is given, as such small rows would be put together again
+    wide = wide.repartition(int(tree.sparkSession.conf.get("spark.sql.shuffle.partitions")), "root", "ancestor", "lo")
     at = wide.select("root", "ancestor", "above", F.explode(F.expr(f"sequence(lo, least(lo + {UNFOLD - 1}, rgt))")).alias("lft"))
     return at.join(t.select("root", "lft", "node", "depth"), ["root", "lft"]).select("ancestor", "node", (F.col("depth") - F.col("above")).alias("distance"))
 

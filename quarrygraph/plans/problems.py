@@ -70,7 +70,8 @@ def _tree(spark: SparkSession, d: str) -> DataFrame:
  LEFT JOIN (SELECT node, above FROM reach WHERE above NOT IN (SELECT node FROM links)) top USING (node)""",
 )
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return _tree(spark, d).where("parent IS NOT NULL").select("node", "root", F.col("depth").cast("int").alias("depth"))
+    links = hierarchy.inheritance_links(table(spark, d, "relations"))
+    return hierarchy.depths(links).where("parent IS NOT NULL").select("node", "root", F.col("depth").cast("int").alias("depth"))
 
 
 @query("p3_paths", f"WITH RECURSIVE {TREE} SELECT node, string_agg(above, ' > ' ORDER BY above_depth) || ' > ' || node AS path FROM up GROUP BY node")

@@ -9,7 +9,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,12 @@ class Scratch:
         atexit.register(self.close)
         _LIVE.append(self)
 
+    def told(self, df: DataFrame, **figures: Column) -> tuple[DataFrame, dict[str, object]]:
+        """``cut``, and aggregates over all rows taken while they are written."""
+        seen = Observation()
+        out = self.cut(df.observe(seen, *[c.alias(k) for k, c in figures.items()]))
+        return out, seen.get
+
     def cut(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{self.n}"
         self.n += 1

@@ -102,6 +102,7 @@ def check_tree(spark, parent, extra=()):
     links = spark.createDataFrame([*parent.items(), *extra], "child string, parent string").withColumn("size", F.lit(1)).withColumn("jump", F.lit("x"))
     tree = hierarchy.hierarchy(links)
     got = {r.node: r for r in tree.collect()}
+    assert {(r.node, r.parent, r.root, r.depth, r.size) for r in hierarchy.depths(links).collect()} == {(n, r.parent, r.root, r.depth, r.size) for n, r in got.items()}
     want = brute_tree(parent)
     assert {n: (r.root, r.depth) for n, r in got.items() if r.parent is not None} == want
     kids = defaultdict(set)
@@ -143,6 +144,14 @@ def test_hierarchy_empty_and_many_parents(spark, rows):
     assert rows(hierarchy.hierarchy(spark.createDataFrame([("c", "b"), ("c", "a")], "child string, parent string")).where("parent IS NOT NULL").select("node", "parent")) == [("c", "a")]
 
 
+def test_descendants_of_one_large_root_are_spread(spark):
+    tree = spark.range(200_000).select(F.lit("r").alias("root"), F.concat(F.lit("n"), "id").alias("node"), F.when(F.col("id") > 0, "n0").alias("parent"), F.least("id", F.lit(1)).alias("depth"), F.when(F.col("id") > 0, 1).otherwise(200_000).alias("size"), F.col("id").alias("lft"), F.when(F.col("id") > 0, F.col("id")).otherwise(199_999).alias("rgt"))
+    found = hierarchy.descendants(tree)
+    assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().toString()
+    told = found.groupBy("ancestor").agg(F.count("*").alias("n"), F.countDistinct("node").alias("d"), F.min("distance").alias("lo"), F.max("distance").alias("hi")).collect()
+    assert [tuple(r) for r in told] == [("n0", 199_999, 199_999, 1, 1)]
+
+
 def test_hierarchy_hot_parent(spark, monkeypatch):
     monkeypatch.setattr(hierarchy, "HOT_FOLLOWERS", 5)
     check_tree(spark, {f"c{i}": "mid" for i in range(40)} | {"mid": "top", "top": "root"} | {"l1": "l2", "l2": "l1", **{f"t{i}": "l1" for i in range(9)}})
