@@ -82,6 +82,18 @@ def test_broken_references(spark, rows):
     assert references.broken_references(relations, entities.limit(0), stubs.limit(0)).count() == 11
 
 
+def test_broken_report_counts_as_the_rows_do(spark, rows):
+    r = random.Random(5)
+    names = [f"n{i}" for i in range(12)]
+    relations = rel(spark, [(i, r.choice(names), r.choice(names), "C", None, r.choice([None, "resolved", "unresolved"]), r.choice([None, *range(0, 90, 7)])) for i in range(400)])
+    entities = ent(spark, [(n, None, r.choice([None, *range(0, 95, 5)]), r.choice([None, None, None, 3])) for n in names[:9] for _ in range(2)])
+    stubs = spark.createDataFrame([("n9",), ("n0",)], "entity_name string")
+    found = references.broken_references(relations, entities, stubs)
+    want = Counter((x.side, x.at.strftime("%Y-%m") if x.at else "", x.state) for x in found.collect())
+    got = references.broken_report(relations, entities, stubs).collect()
+    assert {(g.side, g.month, g.state): g.n for g in got} == want and {k[2] for k in want} == {"missing", "deleted", "late"}
+
+
 def brute_tree(parent):
     out = {}
     for v in parent:
