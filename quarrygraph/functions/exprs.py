@@ -137,6 +137,11 @@ def is_core_module(path: Column) -> Column:
     return F.lower(text(path)).rlike(rf"(^|/)({'|'.join(CORE_MODULES)})[/.]")
 
 
+def core_module(path: Column) -> Column:
+    """The core module's name within the path."""
+    return F.regexp_extract(F.lower(text(path)), rf"(?:^|/)({'|'.join(CORE_MODULES)})[/.]", 1)
+
+
 def is_bug_fix(subject: Column) -> Column:
     return text(subject).rlike(f"(?i)(?:{'|'.join(BUG_FIX_SUBJECTS)})")
 

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrygraph.functions import exprs as X
-from quarrygraph.operators.graph import edges_of
-from quarrygraph.operators.traverse import bfs
+from quarrygraph.operators.traverse import reached
+from quarrygraph.session import Scratch
 
 
 def range_overlaps(ranges: DataFrame, spans: DataFrame, key: str) -> DataFrame:
@@ -44,14 +44,30 @@ def qualified(symbols: DataFrame) -> DataFrame:
 
 
 def callers(relations: DataFrame, symbols: DataFrame, depth: int = 2, full: bool = False) -> DataFrame:
-    """(caller, file, line, distance): callers of ``symbols`` (symbol). One further hop for any depth above 1; ``full`` takes all hops."""
-    calls = relations.where("keywords = 'CALLS'")
-    seeds = symbols.select(F.col("symbol").alias("seed")).distinct()
-    near = bfs(edges_of(calls), seeds, depth if full else min(depth, 2), "in").groupBy("node").agg(F.min("depth").alias("distance"))
-    near = near.join(seeds.select(F.col("seed").alias("node")), "node", "left_anti")
+    """(caller, file, line, distance): where ``symbols`` (symbol) are called from.
+
+    File and line are those of the call itself, not of another call of the same caller; a caller is told apart by name
+    and file, of several calls in one file the first line counts. Callers that were changed themselves are kept. For any
+    ``depth`` above 1 callers of callers follow at distance 2; ``full`` goes on up to ``depth`` hops. Calls without a
+    source have file '' and line 0.
+    """
+    work = Scratch(relations.sparkSession)
     file, line = X.file_and_line(F.col("source_id"))
-    at = calls.groupBy(F.col("src_id").alias("node")).agg(F.min("source_id").alias("source_id"))
-    return near.join(at, "node", "left").select(F.col("node").alias("caller"), file.alias("file"), line.alias("line"), "distance")
+    calls = work.cut(relations.where("keywords = 'CALLS' AND src_id <> '' AND tgt_id <> ''").select("tgt_id", F.col("src_id").alias("caller"), file.alias("file"), line.alias("line")))
+    n = F.count(F.lit(1))
+    front, told = work.told(symbols.select(F.col("symbol").alias("tgt_id")).where("tgt_id <> ''").distinct(), n=n)
+    asked, found = front, None
+    for d in range(1, (depth if full else min(depth, 2)) + 1):
+        if not told["n"]:
+            break
+        hit = reached(calls, front, told["n"], "tgt_id").groupBy("caller", "file").agg(F.min("line").alias("line"))
+        if found is not None:
+            hit = hit.join(found.select("caller", "file"), ["caller", "file"], "left_anti")
+        new = work.cut(hit.select("caller", "file", "line", F.lit(d).alias("distance")))
+        found = new if found is None else found.unionByName(new)
+        front, told = work.told(new.select(F.col("caller").alias("tgt_id")).distinct().join(asked, "tgt_id", "left_anti"), n=n)
+        asked = asked.unionByName(front)
+    return found if found is not None else calls.select("caller", "file", "line", F.lit(1).alias("distance")).limit(0)
 
 
 def affected_modules(symbols: DataFrame, found: DataFrame) -> DataFrame:
@@ -64,13 +80,46 @@ def affected_tests(found: DataFrame) -> DataFrame:
 
 
 def risk(symbols: DataFrame, found: DataFrame, ratio: float | None = None, low: int = 3, high: int = 10) -> DataFrame:
-    """One row (symbols, callers, modules, core, level) with level high, medium, low or, on a graph with few resolved edges, unknown."""
+    """One row (symbols, callers, modules, core, level, reason, suggestions): level high, medium, low or, on a graph with few resolved edges, unknown."""
     one = lambda df, *a: df.agg(*a).withColumn("one", F.lit(1))
-    out = one(symbols, F.count(F.lit(1)).alias("symbols"), F.coalesce(F.bool_or(X.is_core_module(F.col("file"))), F.lit(False)).alias("core"))
-    for p in (one(found, F.count(F.lit(1)).alias("callers")), one(affected_modules(symbols, found), F.count(F.lit(1)).alias("modules"))):
+    n = F.count(F.lit(1))
+    out = one(symbols, n.alias("symbols"), F.coalesce(F.bool_or(X.is_core_module(F.col("file"))), F.lit(False)).alias("core"), F.min(F.when(X.is_core_module(F.col("file")), X.core_module(F.col("file")))).alias("core_name"))
+    tests = affected_tests(found)
+    first = tests.orderBy("file").limit(3).agg(F.array_sort(F.collect_list("file")).alias("first_tests")).withColumn("one", F.lit(1))
+    parts = [one(found, n.alias("callers"), F.count_if(F.col("distance") == 1).alias("direct")), one(affected_modules(symbols, found), n.alias("modules")), one(tests, n.alias("tests")), first]
+    for p in parts:
         out = out.join(F.broadcast(p), "one")
-    r = F.lit(ratio).cast("double")
-    level = (
-        F.when(F.col("core") | (F.col("callers") >= high) | (F.col("modules") >= 5), "high").when(F.col("callers") >= low, "medium").when(r < 0.1, "unknown").when((r < 0.5) & (F.col("callers") == 0), "medium").otherwise("low")
+    c, m, r = F.col("callers"), F.col("modules"), F.lit(ratio).cast("double")
+    level = F.when(F.col("core") | (c >= high) | (m >= 5), "high").when(c >= low, "medium").when(r < 0.1, "unknown").when((r < 0.5) & (c == 0), "medium").otherwise("low")
+    percent = F.format_string("%.1f%%", r * 100)
+    causes = F.array(F.when(F.col("core"), F.concat(F.lit("changes to core module ("), "core_name", F.lit(")"))), F.when(c >= high, F.concat(c, F.lit(" callers affected"))), F.when(m >= 5, F.concat(m, F.lit(" modules impacted"))))
+    reason = (
+        F.when(F.col("level") == "high", F.concat(F.lit("High risk: "), F.array_join(causes, ", ")))
+        .when(c >= low, F.concat(F.lit("Medium risk: "), c, F.lit(" callers, "), m, F.lit(" modules affected")))
+        .when(F.col("level") == "unknown", F.concat(F.lit("Impact unknown: only "), percent, F.lit(" of the edges are resolved; "), c, F.lit(" caller(s) found say little about the reach")))
+        .when(F.col("level") == "medium", F.concat(F.lit("Medium risk: no callers found, but only "), percent, F.lit(" of the edges are resolved; calls through factories may be missing")))
+        .when(c == 0, "Low risk: no callers found, isolated change")
+        .otherwise(F.concat(F.lit("Low risk: only "), c, F.lit(" caller(s), limited blast radius")))
+    )
+    more = F.when(F.col("tests") > 3, F.concat(F.lit(" (+"), F.col("tests") - 3, F.lit(" more)"))).otherwise("")
+    is_level = lambda x: F.col("level") == x
+    advice = F.array(
+        F.when(F.col("tests") > 0, F.concat(F.lit("Run affected tests: "), F.array_join("first_tests", ", "), more)).otherwise("Run unit tests for changed modules"),
+        F.when(is_level("high"), "Consider code review before merging"),
+        F.when(is_level("high"), "Run full integration test suite"),
+        F.when(is_level("high") & (F.col("direct") > 5), "Verify backward compatibility"),
+        F.when(is_level("medium"), "Review direct callers for breaking changes"),
+        F.when(is_level("medium") & (c > F.col("direct")), "Check indirect callers for side effects"),
+        F.when(~F.col("level").isin("high", "medium") & (F.col("tests") == 0), "Consider adding tests for changed code"),
     )
-    return out.select("symbols", "callers", "modules", "core", level.alias("level"))
+    told = out.withColumn("level", level)
+    return told.select("symbols", "callers", "modules", "core", "level", reason.alias("reason"), F.array_join(F.filter(advice, lambda x: x.isNotNull()), "; ").alias("suggestions"))
+
+
+def caller_risk(found: DataFrame, low: int = 3, high: int = 10) -> DataFrame:
+    """One row (callers, level, reason, suggestions) from the callers of one symbol alone."""
+    c = F.col("callers")
+    pick = lambda a, b, z: F.when(c >= high, a).when(c >= low, b).otherwise(z)
+    reason = pick(F.concat(F.lit("Symbol has "), c, F.lit(" callers, changes may have widespread impact")), F.concat(F.lit("Symbol has "), c, F.lit(" callers")), F.concat(F.lit("Symbol has "), c, F.lit(" caller(s), limited blast radius")))
+    advice = pick(F.lit("Review all caller sites before merging; Consider adding deprecation period; Run full test suite"), F.lit("Review affected callers; Run tests for affected modules"), F.lit("Run unit tests for changed code"))
+    return found.agg(F.count(F.lit(1)).alias("callers")).select("callers", pick(F.lit("high"), F.lit("medium"), F.lit("low")).alias("level"), reason.alias("reason"), advice.alias("suggestions"))

@@ -7,8 +7,13 @@ from pyspark.sql import functions as F
 
 from quarrygraph.functions import exprs as X
 from quarrygraph.operators.graph import edges_of, named
+from quarrygraph.operators.joins import spread_join
 from quarrygraph.session import Scratch
 
+#: A frontier of at most so many rows (two names each) is broadcast.
+FRONTIER = 200_000
+SALTS = 16
+
 
 def trusted_edges(relations: DataFrame, kind: str = "all", include_unresolved: bool = False) -> DataFrame:
     """(src, tgt, kind) of relations of a kind; only resolved ones (or without a qualifier) unless told otherwise."""
@@ -17,24 +22,41 @@ def trusted_edges(relations: DataFrame, kind: str = "all", include_unresolved: b
     return edges if kind == "all" else edges.where(F.col("kind") == kind)
 
 
+def reached(edges: DataFrame, nodes: DataFrame, rows: int, by: str) -> DataFrame:
+    """``edges`` with the columns of ``nodes`` (keyed by ``by``) whose ``by`` is among them, by way of the smaller side.
+
+    ``rows`` is the true number of ``nodes``. Up to FRONTIER of them are broadcast, so the edges stay where they are and
+    a node that owns most edges costs nothing more; beyond that the edges are shuffled, hot nodes' ones dealt over tasks.
+    """
+    if rows <= FRONTIER:
+        return edges.join(F.broadcast(nodes), by)
+    keys = nodes.select(by).distinct()
+    counts = edges.groupBy(by).agg(F.count(F.lit(1)).alias("_edges"))
+    met = spread_join(edges, keys, by, counts, "_edges")
+    salted = nodes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return met.withColumn("_salt", F.pmod(F.xxhash64(*edges.columns), F.lit(SALTS)).cast("int")).join(salted, [by, "_salt"]).drop("_salt")
+
+
 def bfs(edges: DataFrame, seeds: DataFrame, depth: int, direction: str = "out") -> DataFrame:
     """(seed, node, relation, depth): each node other than the seed reached within ``depth`` hops, once, at its least depth.
 
-    ``seeds`` has one column, seed. Of several discovering edges the least kind names the relation. Each hop joins the
-    frontier's nodes to the edges and drops what was visited; a round that finds nothing ends it. Cycles and loops are
-    no problem; no seeds or depth 0 give no rows.
+    ``seeds`` has one column, seed. Of several discovering edges the least kind names the relation. The edges are
+    written once; each hop joins the frontier's nodes to them and drops what was visited; a round that finds nothing
+    ends it. Cycles and loops are no problem; no seeds or depth 0 give no rows.
     """
     work = Scratch(edges.sparkSession)
     a, b = ("src", "tgt") if direction == "out" else ("tgt", "src")
-    step = edges.select(F.col(a).alias("node"), F.col(b).alias("next"), "kind").groupBy("node", "next").agg(F.min("kind").alias("kind"))
-    frontier = seeds.select("seed", F.col("seed").alias("node")).distinct()
-    visited = work.cut(frontier.select("seed", "node", F.lit(None).cast("string").alias("relation"), F.lit(0).alias("depth")))
+    kept = edges if hasattr(edges, "_scratch_path") else work.cut(edges)
+    step = kept.select(F.col(a).alias("node"), F.col(b).alias("next"), "kind")
+    n = F.count(F.lit(1))
+    first = seeds.select("seed", F.col("seed").alias("node")).where("seed IS NOT NULL").distinct()
+    visited, told = work.told(first.select("seed", "node", F.lit(None).cast("string").alias("relation"), F.lit(0).alias("depth")), n=n)
     frontier = visited.select("seed", "node")
     for d in range(1, depth + 1):
-        met = frontier.join(step, "node").groupBy("seed", F.col("next").alias("node")).agg(F.min("kind").alias("relation"))
-        new = work.cut(met.join(visited.select("seed", "node"), ["seed", "node"], "left_anti").select("seed", "node", "relation", F.lit(d).alias("depth")))
-        if new.isEmpty():
+        if not told["n"]:
             break
+        met = reached(step, frontier, told["n"], "node").groupBy("seed", F.col("next").alias("node")).agg(F.min("kind").alias("relation"))
+        new, told = work.told(met.join(visited.select("seed", "node"), ["seed", "node"], "left_anti").select("seed", "node", "relation", F.lit(d).alias("depth")), n=n)
         visited = visited.unionByName(new)
         frontier = new.select("seed", "node")
     return visited.where("depth > 0")
@@ -55,7 +77,7 @@ def graph_query(relations: DataFrame, entities: DataFrame, name: str, direction:
     """(side, entity, relation, source_id): callers and callees of a name; a class also has the callees of its methods."""
     spark = relations.sparkSession
     start = resolve_name(entities, name)
-    edges = trusted_edges(relations, kind, include_unresolved)
+    edges = Scratch(spark).cut(trusted_edges(relations, kind, include_unresolved))
     seed = spark.createDataFrame([(start,)], "seed string")
     sides = []
     if direction in ("callees", "both"):
@@ -74,6 +96,6 @@ def graph_query(relations: DataFrame, entities: DataFrame, name: str, direction:
 
 def attach_relations(matches: DataFrame, relations: DataFrame, depth: int = 1) -> DataFrame:
     """(entity, side, other, relation) of the trusted callers and callees of every match (entity)."""
-    seeds, edges = matches.select(F.col("entity").alias("seed")), trusted_edges(relations)
+    seeds, edges = matches.select(F.col("entity").alias("seed")), Scratch(relations.sparkSession).cut(trusted_edges(relations))
     side = lambda d, name: bfs(edges, seeds, depth, d).select(F.col("seed").alias("entity"), F.lit(name).alias("side"), F.col("node").alias("other"), "relation")
     return side("in", "callers").unionByName(side("out", "callees"))

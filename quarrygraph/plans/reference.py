@@ -446,7 +446,7 @@ def range_overlap(spark: SparkSession, d: str) -> DataFrame:
 
 _SRC = "regexp_extract(source_id, '^(.*):(\\d+)-(\\d+)$', {0})"
 _CHANGED = f"""{G.GRAPH}, sy AS (SELECT {_SRC.format(1)} AS file, entity_name AS name, TRY_CAST({_SRC.format(2)} AS BIGINT) AS line_start, TRY_CAST({_SRC.format(3)} AS BIGINT) AS line_end FROM e WHERE regexp_matches(source_id, '^(.*):(\\d+)-(\\d+)$')),
- cf AS (SELECT DISTINCT file, CASE WHEN ends_with(file, 'reader.py') THEN 'ADDED' WHEN ends_with(file, 'gate.py') THEN 'DELETED' ELSE 'MODIFIED' END AS t FROM sy WHERE ends_with(file, 'reader.py') OR ends_with(file, 'gate.py') OR ends_with(file, 'mapper.py')),
+ cf AS (SELECT DISTINCT file, CASE len(file) % 7 WHEN 0 THEN 'ADDED' WHEN 1 THEN 'DELETED' ELSE 'MODIFIED' END AS t FROM sy),
  cs AS (SELECT file, name, 'ADDED' AS change, line_start, line_end, line_end - line_start + 1 AS lines_changed FROM sy JOIN cf USING (file) WHERE t = 'ADDED' UNION ALL SELECT file, '<deleted:' || regexp_replace(string_split(file, '/')[-1], '\\.[^.]*$', '') || '>', 'DELETED', 0, 0, 0 FROM cf WHERE t = 'DELETED'
   UNION ALL SELECT file, name, 'MODIFIED', line_start, line_end, CAST(sum(least(line_end, x.e) - greatest(line_start, x.s) + 1) AS BIGINT) FROM sy JOIN cf USING (file) JOIN (VALUES (1, 40), (30, 60), (200, 210)) x(s, e) ON line_start <= x.e AND x.s <= line_end WHERE t = 'MODIFIED' GROUP BY ALL),
  q AS (SELECT DISTINCT CASE WHEN NOT ends_with(file, '.py') OR starts_with(name, replace(replace(file, '.py', ''), '/', '.') || '.') THEN name ELSE replace(replace(file, '.py', ''), '/', '.') || '.' || name END AS symbol FROM cs)"""
@@ -456,9 +456,9 @@ def _changed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     e, r = _er(spark, d)
     g = lambda i: F.regexp_extract("source_id", r"^(.*):(\d+)-(\d+)$", i)
     symbols = e.where(F.col("source_id").rlike(r"^(.*):(\d+)-(\d+)$")).select(g(1).alias("file"), F.col("entity_name").alias("name"), g(2).cast("bigint").alias("line_start"), g(3).cast("bigint").alias("line_end"))
-    kind = F.when(F.col("file").endswith("reader.py"), "ADDED").when(F.col("file").endswith("gate.py"), "DELETED").when(F.col("file").endswith("mapper.py"), "MODIFIED")
+    kind = F.when(F.length("file") % 7 == 0, "ADDED").when(F.length("file") % 7 == 1, "DELETED").otherwise("MODIFIED")
     span = lambda *p: F.array(*[F.struct(F.lit(a).cast("bigint").alias("s"), F.lit(b).cast("bigint").alias("e")) for a, b in p])
-    files = symbols.select(F.col("file").alias("path"), kind.alias("change_type")).where("change_type IS NOT NULL").distinct().withColumn("added", span((1, 40), (200, 210))).withColumn("deleted", span((30, 60)))
+    files = symbols.select(F.col("file").alias("path"), kind.alias("change_type")).distinct().withColumn("added", span((1, 40), (200, 210))).withColumn("deleted", span((30, 60)))
     return impact.changed_symbols(files, symbols), r
 
 
@@ -468,15 +468,17 @@ def changed_symbols(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _as_symbols(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Changed symbols by the names that the graph knows them by."""
+    """Changed symbols by the names that the graph knows them by. The entities are qualified names without their files' roots, so both are asked for."""
     changed, r = _changed(spark, d)
-    return changed.withColumn("symbol", F.col("name")), r
+    return impact.qualified(changed).unionByName(changed.withColumn("symbol", F.col("name"))).distinct(), r
 
 
-_CALLS = f"""WITH {_CHANGED}, k AS (SELECT src_id, tgt_id, source_id FROM r WHERE keywords = 'CALLS' AND src_id <> '' AND tgt_id <> ''), sym AS (SELECT DISTINCT name FROM cs),
- d1 AS (SELECT DISTINCT src_id AS node FROM k WHERE tgt_id IN (FROM sym)), d2 AS (SELECT DISTINCT src_id AS node FROM k WHERE tgt_id IN (FROM d1)),
- cl AS (SELECT node AS caller, min(dist) AS distance, (SELECT min(source_id) FROM k WHERE src_id = node) AS source_id FROM (SELECT node, 1 AS dist FROM d1 UNION ALL SELECT node, 2 FROM d2) WHERE node NOT IN (FROM sym) GROUP BY node),
- ca AS (SELECT caller, CASE WHEN regexp_matches(source_id, ':\\d+(-[^:]*)?$') THEN regexp_replace(source_id, ':[^:]*$', '') ELSE coalesce(source_id, '') END AS file, CAST(CASE WHEN regexp_matches(source_id, ':\\d+(-[^:]*)?$') THEN regexp_extract(source_id, ':(\\d+)(-[^:]*)?$', 1) ELSE '0' END AS INTEGER) AS line, CAST(distance AS INTEGER) AS distance FROM cl)"""
+_LOC = "regexp_extract(coalesce(source_id, ''), '^(.*):(\\d+)(-[^:]*)?$', ['file', 'line', 'rest'])"
+_CALLS = f"""WITH {_CHANGED}, k AS (SELECT src_id AS caller, tgt_id, CASE WHEN x.line <> '' THEN x.file ELSE coalesce(source_id, '') END AS file, CASE WHEN x.line <> '' THEN CAST(x.line AS INTEGER) ELSE 0 END AS line
+  FROM (SELECT *, {_LOC} AS x FROM r WHERE keywords = 'CALLS' AND src_id <> '' AND tgt_id <> '')), sym AS (SELECT symbol AS name FROM q UNION SELECT name FROM cs),
+ d1 AS (SELECT caller, file, min(line) AS line, 1 AS distance FROM k SEMI JOIN sym ON tgt_id = name GROUP BY 1, 2),
+ d2 AS (SELECT caller, file, min(line), 2 FROM k SEMI JOIN (SELECT DISTINCT caller AS c FROM d1) ON tgt_id = c ANTI JOIN d1 USING (caller, file) GROUP BY 1, 2),
+ ca AS (FROM d1 UNION ALL FROM d2)"""
 
 
 @query("impact_callers", f"{_CALLS} FROM ca")
@@ -500,10 +502,13 @@ def affected_tests(spark: SparkSession, d: str) -> DataFrame:
     return impact.affected_tests(impact.callers(r, s))
 
 
-@query("impact_risk", f"{_CALLS}, z AS (SELECT (SELECT count(*) FROM cs) AS symbols, (SELECT count(*) FROM ca) AS callers, (SELECT count(DISTINCT {_PYMOD}) FROM (SELECT file FROM ca UNION ALL SELECT file FROM cs) WHERE ends_with(file, '.py')) AS modules, (SELECT bool_or(regexp_matches(lower(file), '(^|/)({'|'.join(X.CORE_MODULES)})[/.]')) FROM cs) AS core) SELECT *, CASE WHEN core OR callers >= 10 OR modules >= 5 THEN 'high' WHEN callers >= 3 THEN 'medium' ELSE 'low' END AS level FROM z")
+_RISK_SYMBOLS = "(SELECT count(*) FROM (SELECT cs.*, name AS symbol FROM cs UNION SELECT cs.*, CASE WHEN NOT ends_with(file, '.py') OR starts_with(name, replace(replace(file, '.py', ''), '/', '.') || '.') THEN name ELSE replace(replace(file, '.py', ''), '/', '.') || '.' || name END FROM cs))"
+
+
+@query("impact_risk", f"{_CALLS}, z AS (SELECT {_RISK_SYMBOLS} AS symbols, (SELECT count(*) FROM ca) AS callers, (SELECT count(DISTINCT {_PYMOD}) FROM (SELECT file FROM ca UNION ALL SELECT file FROM cs) WHERE ends_with(file, '.py')) AS modules, (SELECT bool_or(regexp_matches(lower(file), '(^|/)({'|'.join(X.CORE_MODULES)})[/.]')) FROM cs) AS core) SELECT *, CASE WHEN core OR callers >= 10 OR modules >= 5 THEN 'high' WHEN callers >= 3 THEN 'medium' ELSE 'low' END AS level FROM z")
 def impact_risk(spark: SparkSession, d: str) -> DataFrame:
     s, r = _as_symbols(spark, d)
-    return impact.risk(s, impact.callers(r, s), 0.8)
+    return impact.risk(s, impact.callers(r, s), 0.8).select("symbols", "callers", "modules", "core", "level")
 
 
 # debt

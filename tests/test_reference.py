@@ -327,6 +327,39 @@ def test_diff_and_impact(spark, rows):
     assert [level(x) for x in (None, 0.05, 0.3, 0.9)] == ["low", "unknown", "medium", "low"]
 
 
+def test_callers_are_where_the_symbol_is_called(spark, rows):
+    r = spark.createDataFrame(
+        [("c", "other", "CALLS", "m.py:10"), ("c", "sym", "CALLS", "m.py:90"), ("c", "sym", "CALLS", "m.py:95"), ("c", "sym", "CALLS", "n.py:7"), ("sym2", "sym", "CALLS", None), ("d", "c", "CALLS", "d.py:1-3"), ("sym", "d", "CALLS", "s.py:x"), ("", "sym", "CALLS", "e.py:1")],
+        "src_id string, tgt_id string, keywords string, source_id string",
+    )
+    symbols = spark.createDataFrame([("sym",), ("sym2",), (None,)], "symbol string")
+    assert rows(impact.callers(r, symbols)) == [("c", "m.py", 90, 1), ("c", "n.py", 7, 1), ("d", "d.py", 1, 2), ("sym2", "", 0, 1)]
+    assert ("sym", "s.py:x", 0, 3) in rows(impact.callers(r, symbols, 5, full=True))
+    assert impact.callers(r, symbols.limit(0)).count() == 0 and impact.callers(r.limit(0), symbols).count() == 0
+
+
+def test_risk_reason_and_suggestions(spark):
+    symbols = spark.createDataFrame([("src/core/a.py",)], "file string")
+    found = lambda n, d=1: spark.createDataFrame([(f"c{i}", f"tests/test_{i}.py" if i < 4 else f"x{i}.py", i, d) for i in range(n)], "caller string, file string, line int, distance int")
+    r = impact.risk(symbols, found(11)).first()
+    assert r.level == "high" and r.reason == "High risk: changes to core module (core), 11 callers affected, 12 modules impacted"
+    assert r.suggestions.startswith("Run affected tests: tests/test_0.py, tests/test_1.py, tests/test_2.py (+1 more); ") and "Verify backward compatibility" in r.suggestions
+    plain = spark.createDataFrame([("a.ts",)], "file string")
+    r = impact.risk(plain, found(0), 0.3).first()
+    assert r.level == "medium" and "30.0%" in r.reason and r.suggestions == "Run unit tests for changed modules; Review direct callers for breaking changes"
+    assert impact.risk(plain, found(0)).first().reason == "Low risk: no callers found, isolated change"
+    assert [impact.caller_risk(found(n)).first().level for n in (0, 3, 10)] == ["low", "medium", "high"]
+
+
+def test_a_large_frontier_gives_the_same_rows(spark, rows, monkeypatch):
+    r = random.Random(4)
+    edges = spark.createDataFrame([(r.choice(["hub", *"abcdef"]), r.choice(["hub", *"abcdef"]), r.choice("XY")) for _ in range(40)], "src string, tgt string, kind string")
+    seeds = spark.createDataFrame([("hub",), ("a",), ("zz",), (None,)], "seed string")
+    want = rows(traverse.bfs(edges, seeds, 3))
+    monkeypatch.setattr(traverse, "FRONTIER", 0)
+    assert rows(traverse.bfs(edges, seeds, 3)) == want and len(want) > 5
+
+
 def test_listing_and_warnings(spark, rows):
     df = spark.createDataFrame([(x,) for x in (" M a.py", "R  old.py -> new.py", "plain/b.ts", "", "?? c.md", "a.py")], "line string")
     assert [r[0] for r in rows(textlogs.listing(df, [".py", ".ts"]))] == ["a.py", "new.py", "plain/b.ts"]
