@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 import uuid
+import warnings
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,17 +12,14 @@ from pyspark.sql import functions as F
 
 from quarrygraph import schema
 from quarrygraph.functions import exprs as X
+from quarrygraph.session import Scratch
 
 TABLES = {"entities": schema.ENTITIES, "relations": schema.RELATIONS, "vectors": schema.VECTORS, "meta": schema.META}
+# Fixed value: the tag of workspaces made as snapshots of a ref.
+PROVISIONER = "branch-diff"
 KEYS = {"entities": ["entity_name"], "relations": ["src_id", "tgt_id", "keywords"], "vectors": ["entity_name"], "meta": ["key"]}
 
 
-def last_wins(batch: DataFrame, keys: Sequence[str], order: str = "ord") -> DataFrame:
-    """The row with the greatest ``order`` of each key. Only (key, order) is aggregated to find it; ``order`` must be unique."""
-    best = batch.groupBy(*keys).agg(F.max(order).alias(order))
-    return batch.join(best.select(order), order, "left_semi")
-
-
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of ``new``, and of ``old`` whose key is not in ``new``. Keys must be unique in ``new``; columns are those of ``old``."""
     given = new.select(*[F.col(c) if c in new.columns else F.lit(None).cast(old.schema[c].dataType).alias(c) for c in old.columns])
@@ -62,10 +60,10 @@ def incremental_actions(old: DataFrame, new: DataFrame, changed_files: DataFrame
 
 class Workspace:
     """One graph under ``root/name``. Every write makes a new version of its tables and then moves a pointer, so readers
-    see either state whole. One writer at a time."""
+    see either state whole. Old versions stay for ``keep_seconds``, for those who still read them. One writer at a time."""
 
-    def __init__(self, spark: SparkSession, root: str, name: str):
-        self.spark, self.root, self.name = spark, root.rstrip("/"), name
+    def __init__(self, spark: SparkSession, root: str, name: str, keep_seconds: int = 6 * 3600):
+        self.spark, self.root, self.name, self.keep_seconds = spark, root.rstrip("/"), name, keep_seconds
         self.path = f"{self.root}/{name.replace('/', '-')}"
 
     # files
@@ -107,9 +105,17 @@ class Workspace:
         opts = self.spark.sparkContext._gateway.new_array(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename, 1)
         opts[0] = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
         self.spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(to.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(tmp, to, opts)
+        self._expire(fs, tables)
+
+    def _expire(self, fs, tables) -> None:  # noqa: ANN001
+        """Removes versions that were superseded more than ``keep_seconds`` ago. A version is superseded when the next one is made."""
+        oldest = int(time.time() * 1000) - self.keep_seconds * 1000
         for name in tables:
-            if name in now:
-                fs.delete(self._p(f"{self.path}/{now[name]}"), True)
+            p = self._p(f"{self.path}/{name}")
+            made = sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+            for old, after in zip(made, made[1:], strict=False):
+                if int(after.split("-")[0]) <= oldest:
+                    fs.delete(self._p(f"{self.path}/{name}/{old}"), True)
 
     @classmethod
     def names(cls, spark: SparkSession, root: str) -> list[str]:
@@ -143,16 +149,30 @@ class Workspace:
     # writes
 
     def write(self, entities: DataFrame | None = None, relations: DataFrame | None = None) -> None:
-        """Upserts a batch in one step; rows without a name or endpoint are dropped, of equal keys the last row (``ord``, if there is one) counts."""
-        out = {}
+        """Upserts a batch in one step; rows without a name or endpoint are dropped, of equal keys the last row counts: that with the greatest ``seq``, then ``ord``, where there is one."""
+        self.replace(**self._merged({}, entities, relations))
+
+    def _merged(self, base: dict[str, DataFrame], entities: DataFrame | None = None, relations: DataFrame | None = None, vectors: DataFrame | None = None, **meta: str) -> dict[str, DataFrame]:
+        """The tables after an upsert of the given rows into ``base``, or into the current tables where it has none."""
+        out = dict(base)
+        at = lambda t: out[t] if t in out else self.table(t)
         if entities is not None:
-            rows = entities.where("entity_name <> ''")
-            out["entities"] = upsert(self.table("entities"), self._last(rows, "entities"), KEYS["entities"])
+            out["entities"] = upsert(at("entities"), self._last(entities.where("entity_name <> ''"), "entities"), KEYS["entities"])
         if relations is not None:
-            rows = relations.where("src_id <> '' AND tgt_id <> ''")
-            rows = rows.withColumn("keywords", X.text(F.col("keywords")))
-            out["relations"] = upsert(self.table("relations"), self._last(rows, "relations"), KEYS["relations"])
-        self.replace(**out)
+            rows = relations.where("src_id <> '' AND tgt_id <> ''").withColumn("keywords", X.text(F.col("keywords")))
+            out["relations"] = upsert(at("relations"), self._last(rows, "relations"), KEYS["relations"])
+        if vectors is not None:
+            out["vectors"] = upsert(at("vectors"), vectors, ["entity_name"])
+        if meta:
+            out["meta"] = upsert(at("meta"), self.spark.createDataFrame(list(meta.items()), schema.META), ["key"])
+        return out
+
+    def _staged(self, rows: DataFrame, dims: int) -> tuple[DataFrame, int]:
+        """Usable vectors, one per name, written once, so that an embedder behind them meets every text once; and their number."""
+        ok = rows.where((F.size("embedding") == dims) & F.col("entity_name").isNotNull())
+        one = ok.groupBy("entity_name").agg(F.max(F.struct("embedding", "source_id")).alias("r")).select("entity_name", "r.source_id", "r.embedding")
+        staged, told = Scratch(self.spark).told(one, n=F.count(F.lit(1)))
+        return staged, told["n"]
 
     @staticmethod
     def _last(rows: DataFrame, name: str) -> DataFrame:
@@ -160,7 +180,8 @@ class Workspace:
         # maps cannot be compared, so they are carried as sorted entries
         maps = [c for c in rows.columns if rows.schema[c].dataType.typeName() == "map"]
         rest = [c for c in rows.columns if c not in [*keys, *maps]]
-        order = (["ord"] if "ord" in rows.columns else []) + [c for c in rest if c != "ord"]
+        first = [c for c in ("seq", "ord") if c in rest]
+        order = first + [c for c in rest if c not in first]
         if not order and not maps:
             return rows.dropDuplicates(keys)
         best = rows.groupBy(*keys).agg(F.max(F.struct(*order, *[F.array_sort(F.map_entries(c)).alias(c) for c in maps])).alias("_r"))
@@ -178,64 +199,93 @@ class Workspace:
         v = self.table("vectors").join(names.select("entity_name").distinct(), "entity_name", "left_anti").select("entity_name", "source_id", "embedding")
         self.replace(entities=e, relations=r, vectors=v)
 
-    def write_embeddings(self, rows: DataFrame, dims: int) -> int:
+    def write_embeddings(self, rows: DataFrame, dims: int, **meta: str) -> int:
         """Replaces vectors by name; rows of another length or null are passed over. Returns how many were written."""
-        ok = rows.where((F.size("embedding") == dims) & F.col("embedding").isNotNull() & F.col("entity_name").isNotNull())
-        one = ok.groupBy("entity_name").agg(F.max(F.struct("embedding", "source_id")).alias("r")).select("entity_name", "r.source_id", "r.embedding")
-        self.replace(vectors=upsert(self.table("vectors"), one, ["entity_name"]))
-        return one.count()
+        self.check_dims(dims)
+        staged, n = self._staged(rows, dims)
+        self.replace(**self._merged({}, vectors=staged, **meta))
+        return n
+
+    def vector_count(self) -> int:
+        return self.table("vectors").count()
 
     def check_dims(self, dims: int) -> None:
         row = self.table("vectors").where(F.size("embedding") != dims).first()
         if row:
             raise ValueError(f"vectors of {len(row.embedding)} numbers, not {dims}")
 
-    def ingest(self, entities: DataFrame, relations: DataFrame, *, clear: bool = False, embed: Callable[[DataFrame], DataFrame] | None = None, dims: int = 768) -> dict[str, object]:
-        """Writes a full export; records the share of its edges whose ends are its entities, before duplicates are merged."""
+    def _vectors(self, entities: DataFrame, embed: Callable[[DataFrame], DataFrame] | None, dims: int, strict: bool) -> tuple[DataFrame | None, int]:
+        """The vectors of ``entities``. Without an embedder none; an embedder that fails gives none and a warning, unless ``strict``
+        or it is a mistake that every try would repeat (ValueError, TypeError)."""
+        if embed is None:
+            return None, 0
+        self.check_dims(dims)
+        try:
+            return self._staged(embed(entities), dims)
+        except (ValueError, TypeError):
+            raise
+        except Exception as e:
+            if strict or any(k in str(e) for k in ("ValueError", "TypeError")):
+                raise
+            warnings.warn(f"embedding failed, no vectors are written: {str(e)[:200]}", stacklevel=3)
+            return None, 0
+
+    def ingest(self, entities: DataFrame, relations: DataFrame, *, clear: bool = False, embed: Callable[[DataFrame], DataFrame] | None = None, dims: int = 768, strict: bool = False, **meta: str) -> dict[str, object]:
+        """Writes a full export in one step; records the share of its edges whose ends are its entities, before duplicates are merged."""
         from quarrygraph.operators.graph import resolution
 
-        if clear:
-            self.clear()
-        self.write(entities, relations)
-        if embed is not None:
-            self.write_embeddings(embed(entities), dims)
-        ratio = resolution(relations, entities).first().ratio
-        self.set_meta(resolved_ratio="" if ratio is None else str(ratio))
-        return {"entities": entities.count(), "relations": relations.count(), "resolved_ratio": ratio}
-
-    def ingest_changes(self, entities: DataFrame, relations: DataFrame, changed_files: DataFrame, embed: Callable[[DataFrame], DataFrame] | None = None, dims: int = 768) -> dict[str, int]:
-        """Symbol by symbol: unchanged symbols of changed files are skipped, vanished ones deleted with their relations, others upserted."""
-        actions = incremental_actions(self.table("entities"), entities, changed_files).cache()
-        try:
-            gone = actions.where("action = 'delete'").select("entity_name")
-            todo = entities.join(actions.where("action = 'upsert'").select("entity_name"), "entity_name", "left_semi")
-            rels = relations.withColumn("_f", X.file_of(F.col("source_id"))).join(changed_files.select(F.col("file").alias("_f")).distinct(), "_f", "left_semi").drop("_f")
-            counts = {r.action: r["count"] for r in actions.groupBy("action").count().collect()}
-            if counts.get("delete"):
-                self.delete_entities(gone)
-            vectors = embed(todo) if embed is not None else None
-            self.write(todo, rels)
-            if vectors is not None:
-                self.write_embeddings(vectors, dims)
-            return {k: counts.get(k, 0) for k in ("skip", "upsert", "delete")}
-        finally:
-            actions.unpersist()
+        base = {t: self.spark.createDataFrame([], TABLES[t]) for t in ("entities", "relations", "vectors")} if clear else {}
+        vectors, embedded = self._vectors(entities, embed, dims, strict)
+        told = resolution(relations, entities).first()
+        ratio = "" if told.ratio is None else str(told.ratio)
+        self.replace(**self._merged(base, entities, relations, vectors, resolved_ratio=ratio, **meta))
+        return {"entities": entities.count(), "relations": told.edges, "resolved_ratio": told.ratio, "embedded": embedded}
 
-    def refresh(self, mode: str, entities: DataFrame, relations: DataFrame, changed_files: DataFrame | None = None, fingerprint: str | None = None) -> dict[str, object]:
-        """'rebuild', 'append', 'incremental' or 'auto'; a known, equal fingerprint makes it a no-op."""
-        if fingerprint is not None and self.get_meta("fingerprint") == fingerprint:
+    def ingest_changes(self, entities: DataFrame, relations: DataFrame, changed_files: DataFrame, embed: Callable[[DataFrame], DataFrame] | None = None, dims: int = 768, strict: bool = False, **meta: str) -> dict[str, object]:
+        """Symbol by symbol and in one step: unchanged symbols of changed files are skipped, vanished ones deleted with their
+        relations and vectors, others upserted; the resolved ratio is that of the whole new export."""
+        from quarrygraph.operators.graph import resolution
+
+        actions, _ = Scratch(self.spark).told(incremental_actions(self.table("entities"), entities, changed_files), n=F.count(F.lit(1)))
+        counts = {r.action: r["count"] for r in actions.groupBy("action").count().collect()}
+        gone = actions.where("action = 'delete'").select("entity_name")
+        todo = entities.join(actions.where("action = 'upsert'").select("entity_name"), "entity_name", "left_semi")
+        rels = relations.withColumn("_f", X.file_of(F.col("source_id"))).join(changed_files.select(F.col("file").alias("_f")).distinct(), "_f", "left_semi").drop("_f")
+        base = {}
+        if counts.get("delete"):
+            base["entities"], base["relations"] = delete_names(self.table("entities"), self.table("relations"), gone)
+            base["vectors"] = self.table("vectors").join(gone, "entity_name", "left_anti").select("entity_name", "source_id", "embedding")
+        vectors, embedded = self._vectors(todo, embed, dims, strict)
+        told = resolution(relations, entities).first()
+        ratio = "" if told.ratio is None else str(told.ratio)
+        self.replace(**self._merged(base, todo, rels, vectors, resolved_ratio=ratio, **meta))
+        return {**{k: counts.get(k, 0) for k in ("skip", "upsert", "delete")}, "resolved_ratio": told.ratio, "embedded": embedded}
+
+    def refresh(self, mode: str, entities: DataFrame, relations: DataFrame, changed_files: DataFrame | None = None, fingerprint: str | None = None, embed: Callable[[DataFrame], DataFrame] | None = None, dims: int = 768, config: str | None = None) -> dict[str, object]:
+        """'rebuild', 'append', 'incremental' or 'auto'; a known, equal fingerprint makes it a no-op. Another ``config`` than the
+        one recorded makes 'auto' a rebuild."""
+        same_config = config is None or self.get_meta("config") == config
+        if fingerprint is not None and same_config and self.get_meta("fingerprint") == fingerprint:
             return {"mode": "noop"}
         if mode == "auto":
-            mode = "rebuild" if self.table("entities").isEmpty() else "incremental" if changed_files is not None else "append"
+            mode = "rebuild" if not same_config or self.table("entities").isEmpty() else "incremental" if changed_files is not None else "append"
+        meta = {k: v for k, v in (("fingerprint", fingerprint), ("config", config)) if v is not None}
         if mode == "incremental":
             if changed_files is None:
                 raise ValueError("incremental needs changed_files")
-            out: dict[str, object] = dict(self.ingest_changes(entities, relations, changed_files))
-        else:
-            out = self.ingest(entities, relations, clear=mode == "rebuild")
-        if fingerprint is not None:
-            self.set_meta(fingerprint=fingerprint)
-        return {"mode": mode, **out}
+            return {"mode": mode, **self.ingest_changes(entities, relations, changed_files, embed, dims, **meta)}
+        return {"mode": mode, **self.ingest(entities, relations, clear=mode == "rebuild", embed=embed, dims=dims, **meta)}
+
+    def provision(self, ref: str, sha: str, load: Callable[[], tuple[DataFrame, DataFrame]]) -> str:
+        """Makes this the snapshot of a ref at commit ``sha``: 'created', 'reused' or 'rebuilt' from what ``load`` gives
+        (entities, relations), tagged in the same step. A workspace that something else has filled is refused with an error."""
+        meta = {r.key: r.value for r in self.table("meta").collect()}
+        todo = provisioning(meta, self.table("entities").limit(1).count(), ref, sha)
+        if todo == "refuse":
+            raise ValueError(f"{self.name} holds data that no snapshot has put there")
+        if todo != "reuse":
+            self.ingest(*load(), clear=True, provisioned_by=PROVISIONER, provisioned_ref=ref, provisioned_sha=sha)
+        return {"create": "created", "reuse": "reused", "rebuild": "rebuilt"}[todo]
 
 
 def provisioning(meta: dict[str, str], entities: int, ref: str, sha: str) -> str:
@@ -243,6 +293,6 @@ def provisioning(meta: dict[str, str], entities: int, ref: str, sha: str) -> str
     has made before; 'refuse' one that something else has filled."""
     if entities == 0:
         return "create"
-    if meta.get("provisioned_by") != "branch-diff":
+    if meta.get("provisioned_by") != PROVISIONER:
         return "refuse"
     return "reuse" if meta.get("provisioned_sha") == sha and meta.get("provisioned_ref") in (ref, None) else "rebuild"

@@ -18,17 +18,27 @@ UNRESOLVED = "<unresolved>"
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """(line, bad, and the fields of all record types): one row per non-blank line; ``bad`` if it is not a JSON object."""
-    return parse(spark.read.text(path).select(F.col("value").alias("line")))
+    """(line, bad, seq, and the fields of all record types): one row per non-blank line; ``bad`` if it is not a JSON object.
+
+    ``seq`` orders the lines: by file, the offset of the part of the file that a task reads, and the place in it. The
+    latter grows with the line within a part, which is all that is needed to tell which of two lines comes later.
+    """
+    seq = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("row"))
+    return parse(spark.read.text(path).select(F.col("value").alias("line"), seq.alias("seq")))
 
 
 def parse(lines: DataFrame) -> DataFrame:
-    """The same of a frame (line)."""
+    """The same of a frame (line) or (line, seq)."""
     names = [f.split()[0] for f in schema.NDJSON.split(", ")]
     rec = F.from_json("line", f"{schema.NDJSON}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "allowSingleQuotes": "false"})
-    rows = lines.where(F.trim("line") != "").select("line", rec.alias("r"))
+    seq = _seq(lines)
+    rows = lines.where(F.trim("line") != "").select("line", *seq, rec.alias("r"))
     bad = F.col("r").isNull() | F.col("r._corrupt").isNotNull()
-    return rows.select("line", bad.alias("bad"), *[F.col(f"r.{n}").alias(n) for n in names])
+    return rows.select("line", *seq, bad.alias("bad"), *[F.col(f"r.{n}").alias(n) for n in names])
+
+
+def _seq(df: DataFrame) -> list[str]:
+    return [c for c in df.columns if c == "seq"]
 
 
 def raw_records(spark: SparkSession, path: str) -> DataFrame:
@@ -47,7 +57,7 @@ def entities(records: DataFrame) -> DataFrame:
     """Mapped entities of the complete entity records; unknown types are kept."""
     some = lambda c: F.when(F.col(c) != "", F.col(c))
     return records.where(~F.col("bad") & _complete("entity")).select(
-        F.col("id").alias("entity_name"), "entity_type", F.concat_ws(" | ", some("signature"), some("description")).alias("description"), "source_id", X.text(F.col("signature")).alias("signature"), X.file_of(F.col("source_id")).alias("file_path"), F.coalesce("provenance", F.lit("ast")).alias("provenance"), "content_hash"
+        F.col("id").alias("entity_name"), "entity_type", F.concat_ws(" | ", some("signature"), some("description")).alias("description"), "source_id", X.text(F.col("signature")).alias("signature"), X.file_of(F.col("source_id")).alias("file_path"), F.coalesce("provenance", F.lit("ast")).alias("provenance"), "content_hash", *_seq(records)
     )
 
 
@@ -61,7 +71,7 @@ def relations(records: DataFrame) -> DataFrame:
     edges = records.where(~F.col("bad") & _complete("edge")).withColumn("tgt_id", _target()).where("tgt_id IS NOT NULL")
     return edges.select(
         F.col("src").alias("src_id"), "tgt_id", F.col("kind").alias("keywords"), F.concat(F.col("kind"), F.lit(" from "), F.col("src"), F.lit(" at "), F.col("source_id")).alias("description"), "source_id",
-        F.when(F.col("resolution_qualifier") == "resolved", 1.0).otherwise(0.5).alias("weight"), "resolution_qualifier", F.nullif(F.col("dst_raw"), F.lit("")).alias("dst_raw"), F.when(F.size("candidates") > 0, F.col("candidates")).alias("candidates"),
+        F.when(F.col("resolution_qualifier") == "resolved", 1.0).otherwise(0.5).alias("weight"), "resolution_qualifier", F.nullif(F.col("dst_raw"), F.lit("")).alias("dst_raw"), F.when(F.size("candidates") > 0, F.col("candidates")).alias("candidates"), *_seq(records),
     )
 
 
@@ -106,6 +116,20 @@ def summary(records: DataFrame) -> DataFrame:
     return out
 
 
+def meta(records: DataFrame) -> DataFrame:
+    """(schema_version, generator, provenance_completeness) of the last complete meta record; no row without one."""
+    cols = ["schema_version", "generator", "provenance_completeness"]
+    kept = records.where(~F.col("bad") & _complete("meta"))
+    return kept.agg(F.max(F.struct(*_seq(records), *cols)).alias("m")).where("m IS NOT NULL").select(*[F.col(f"m.{c}").alias(c) for c in cols])
+
+
+def test_ratios(records: DataFrame) -> DataFrame:
+    """One row (entities, relations, entity_test_ratio, relation_test_ratio): shares that come from tests, four digits, 0 without any."""
+    part = lambda df, name: df.agg(F.count(F.lit(1)).alias(name), F.coalesce(F.round(F.count_if(X.is_test_source(F.col("source_id"))) / F.nullif(F.count(F.lit(1)), F.lit(0)), 4), F.lit(0.0)).alias(f"{name}_tests")).withColumn("one", F.lit(1))
+    both = part(entities(records), "entities").join(F.broadcast(part(relations(records), "relations")), "one")
+    return both.select("entities", "relations", F.col("entities_tests").alias("entity_test_ratio"), F.col("relations_tests").alias("relation_test_ratio"))
+
+
 def is_safe(records: DataFrame) -> bool:
     """Whether the file has any entity: one without must not replace a graph."""
     return not entities(records).isEmpty()

@@ -171,7 +171,7 @@ def test_workspace(spark, rows, tmp_path):
     assert out["resolved_ratio"] == 0.75 and w.get_meta("resolved_ratio") == "0.75"
     assert rows(w.table("relations").select("src_id", "tgt_id", "keywords", "ord")) == [("a", "b", "CALLS", 2), ("b", "c", "", 3)]
     new = spark.createDataFrame([("a", "f", "x.py:1", "h1"), ("b", "F2", "x.py:2", "changed"), ("n", "f", "x.py:5", None)], e.schema)
-    assert w.ingest_changes(new.where("entity_name <> 'a'"), r.limit(0), spark.createDataFrame([("x.py",)], "file string")) == {"skip": 0, "upsert": 2, "delete": 1}
+    assert w.ingest_changes(new.where("entity_name <> 'a'"), r.limit(0), spark.createDataFrame([("x.py",)], "file string")) .items() >= {"skip": 0, "upsert": 2, "delete": 1}.items()
     assert rows(w.table("entities").select("entity_name", "entity_type")) == [("b", "F2"), ("c", "f"), ("n", "f")]
     assert rows(w.table("relations").select("src_id", "tgt_id")) == [("b", "c")]
     assert w.write_embeddings(spark.createDataFrame([("b", "s", [1.0, 2.0]), ("c", "s", [1.0]), ("n", "s", None)], "entity_name string, source_id string, embedding array<float>"), 2) == 1
@@ -180,7 +180,8 @@ def test_workspace(spark, rows, tmp_path):
     w.delete_sources(spark.createDataFrame([("x.py:2",)], "source_id string"))
     assert rows(w.table("entities").select("entity_name")) == [("c",), ("n",)] and w.table("relations").count() == 0
     w.clear()
-    assert w.table("entities").count() == 0 and w.get_meta("resolved_ratio") == "0.75"
+    # the last export had no relations, so its ratio is unknown; clearing keeps the metadata
+    assert w.table("entities").count() == 0 and w.get_meta("resolved_ratio") == ""
     assert w.refresh("auto", e, r, fingerprint="1/2/3")["mode"] == "rebuild" and w.refresh("auto", e, r, fingerprint="1/2/3") == {"mode": "noop"}
     store.Workspace(spark, str(tmp_path), "repo:main").write(e, r)
     assert store.Workspace.first_filled(spark, str(tmp_path), "repo", "nowhere").name == "repo:main"
@@ -327,6 +328,90 @@ def test_diff_and_impact(spark, rows):
     assert [level(x) for x in (None, 0.05, 0.3, 0.9)] == ["low", "unknown", "medium", "low"]
 
 
+def _export(spark, tmp_path, *records):
+    path = tmp_path / "export.ndjson"
+    path.write_text("\n".join(json.dumps(r) for r in records) + "\n")
+    return ndjson.read(spark, str(path))
+
+
+def _node(name, kind, line="a.py:1", **more):
+    return {"type": "entity", "id": name, "entity_type": kind, "source_id": line, "provenance": "ast", "description": f"about {name}", **more}
+
+
+def _edge(src, dst, kind="CALLS", line="a.py:2"):
+    return {"type": "edge", "kind": kind, "src": src, "dst": dst, "resolution_qualifier": "resolved", "source_id": line}
+
+
+def test_the_later_line_wins(spark, rows, tmp_path):
+    rec = _export(spark, tmp_path, _node("a.b", "method"), _node("a.c", "method"), {"type": "meta", "schema_version": 1, "generator": "z"}, _node("a.b", "class"), {"type": "meta", "schema_version": 1, "generator": "a"}, _edge("a.b", "a.c", line="z.py:1"), _edge("a.b", "a.c", line="b.py:1"))
+    w = store.Workspace(spark, str(tmp_path / "ws"), "x")
+    w.ingest(ndjson.entities(rec), ndjson.relations(rec))
+    assert rows(w.table("entities").select("entity_name", "entity_type")) == [("a.b", "class"), ("a.c", "method")]
+    assert rows(w.table("relations").select("source_id")) == [("b.py:1",)]
+    assert ndjson.meta(rec).first().generator == "a" and ndjson.meta(rec.where("type <> 'meta'")).count() == 0
+    assert tuple(ndjson.test_ratios(rec).first()) == (3, 2, 0.0, 0.0)
+
+
+def test_one_embedding_per_text_one_version_per_ingest(spark, rows, tmp_path):
+    rec = _export(spark, tmp_path, *[_node(f"n{i}", "function") for i in range(40)], _edge("n1", "n2"), _edge("n1", "gone"))
+    calls = spark.sparkContext.accumulator(0)
+
+    def embed(texts):
+        calls.add(len(texts))
+        return [[1.0, float(len(t))] for t in texts]
+
+    w = store.Workspace(spark, str(tmp_path / "ws"), "x")
+    out = w.ingest(ndjson.entities(rec), ndjson.relations(rec), embed=lambda e: search.embed_entities(e, embed), dims=2, embedding_provider="p")
+    assert calls.value == 40 == out["embedded"] == w.vector_count() and out["resolved_ratio"] == 0.5
+    assert {v.split("/")[1] for v in w.versions().values()} and len({v.split("/")[1] for v in w.versions().values()}) == 1
+    reader = w.table("entities")
+    files = spark.createDataFrame([("a.py",)], "file string")
+    again = w.ingest_changes(ndjson.entities(rec).where("entity_name <> 'n2'"), ndjson.relations(rec), files, embed=lambda e: search.embed_entities(e, embed), dims=2)
+    assert again["delete"] == 1 and again["resolved_ratio"] == 0.0 and w.get_meta("resolved_ratio") == "0.0" and w.get_meta("embedding_provider") == "p"
+    assert reader.count() == 40 and w.table("entities").count() == 39 == w.vector_count()
+    w.keep_seconds = 0
+    w.write(ndjson.entities(rec).limit(1))
+    assert len(list((tmp_path / "ws" / "x" / "entities").iterdir())) == 1
+
+
+def test_embedding_that_fails(spark, tmp_path):
+    rec = _export(spark, tmp_path, _node("n", "function"))
+    w = store.Workspace(spark, str(tmp_path / "ws"), "x")
+
+    def broken(error):
+        def embed(texts):
+            raise error
+
+        return lambda e: search.embed_entities(e, embed)
+
+    with pytest.warns(UserWarning, match="embedding failed"):
+        assert w.ingest(ndjson.entities(rec), ndjson.relations(rec), embed=broken(OSError("no server")), dims=2)["embedded"] == 0
+    with pytest.raises(Exception, match="wrong key"):
+        w.ingest(ndjson.entities(rec), ndjson.relations(rec), embed=broken(ValueError("wrong key")), dims=2)
+    assert w.table("entities").count() == 1 and w.vector_count() == 0
+    w.write_embeddings(spark.createDataFrame([("n", "a.py", [1.0, 2.0])], "entity_name string, source_id string, embedding array<float>"), 2)
+    with pytest.raises(ValueError, match="2 numbers"):
+        w.write_embeddings(spark.createDataFrame([("n", "a.py", [1.0])], "entity_name string, source_id string, embedding array<float>"), 1)
+
+
+def test_provisioning_writes_its_tags(spark, tmp_path):
+    rec = _export(spark, tmp_path, _node("n", "function"))
+    load = lambda: (ndjson.entities(rec), ndjson.relations(rec))
+    w = store.Workspace(spark, str(tmp_path / "ws"), "r:ref")
+    assert [w.provision("main", sha, load) for sha in ("1", "1", "2")] == ["created", "reused", "rebuilt"]
+    other = store.Workspace(spark, str(tmp_path / "ws"), "r:own")
+    other.write(*load())
+    with pytest.raises(ValueError):
+        other.provision("main", "1", load)
+
+
+def test_refresh_rebuilds_for_another_configuration(spark, tmp_path):
+    rec = _export(spark, tmp_path, _node("n", "function"))
+    w = store.Workspace(spark, str(tmp_path / "ws"), "x")
+    run = lambda **k: w.refresh("auto", ndjson.entities(rec), ndjson.relations(rec), spark.createDataFrame([("a.py",)], "file string"), **k)["mode"]
+    assert [run(fingerprint="1", config="a"), run(fingerprint="1", config="a"), run(fingerprint="2", config="a"), run(fingerprint="2", config="b")] == ["rebuild", "noop", "incremental", "rebuild"]
+
+
 def test_callers_are_where_the_symbol_is_called(spark, rows):
     r = spark.createDataFrame(
         [("c", "other", "CALLS", "m.py:10"), ("c", "sym", "CALLS", "m.py:90"), ("c", "sym", "CALLS", "m.py:95"), ("c", "sym", "CALLS", "n.py:7"), ("sym2", "sym", "CALLS", None), ("d", "c", "CALLS", "d.py:1-3"), ("sym", "d", "CALLS", "s.py:x"), ("", "sym", "CALLS", "e.py:1")],
