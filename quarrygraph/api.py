@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrygraph.operators import debt, diffs, graph, history, impact, modules, search, traverse
-from quarrygraph.operators.store import Workspace, provisioning
+from quarrygraph.operators.store import Workspace
 from quarrygraph.session import ship
-from quarrygraph.sources import ndjson
+from quarrygraph.sources import ndjson, reports, textlogs
 
 
 class Quarry:
@@ -57,9 +57,7 @@ class Quarry:
         w = self.workspace(name)
         if not w.table("vectors").isEmpty():
             return 0
-        n = w.write_embeddings(search.embed_entities(w.table("entities"), embed), dims)
-        w.set_meta(embedding_provider=provider)
-        return n
+        return w.write_embeddings(search.embed_entities(w.table("entities"), embed), dims, embedding_provider=provider)
 
     def find(self, name: str, query: str, kind: str | None = None, limit: int = 20) -> DataFrame:
         return search.find(self.tables(name)[0], query, kind, limit)
@@ -88,9 +86,10 @@ class Quarry:
     def topology(self, name: str, hub: int = 8, god: int = 10, module: str = "", scope: str = "", mode: str = "full") -> dict[str, DataFrame]:
         e, r = self.tables(name)
         if mode == "store":
-            return graph.store_topology(r, e, hub, god, module, scope)
+            ratio = self.workspace(name).get_meta("resolved_ratio")
+            return graph.store_topology(r, e, hub, god, module, scope, ratio=float(ratio) if ratio else None)
         t = graph.Topology(r, e, hub, god, module, scope)
-        return {"orphans": t.orphans(), "hubs": t.hubs(), "gods": t.gods(), "placeholders": t.placeholders(), "coupling": t.coupling(), "most_coupled": t.most_coupled(), "resolution": t.resolution(), "score": t.score()}
+        return {"orphans": t.orphans(), "hubs": t.ordered_hubs(), "gods": t.ordered_gods(), "placeholders": t.placeholders(), "coupling": t.coupling(), "most_coupled": t.most_coupled(), "resolution": t.resolution(), "score": t.score()}
 
     def impact(self, name: str, changed_files: DataFrame, symbols: DataFrame, depth: int = 2, full: bool = False) -> dict[str, DataFrame]:
         w = self.workspace(name)
@@ -124,7 +123,7 @@ class Quarry:
             g = self.git_metrics(commits)
             parts.append(debt.git_issues(g["hotspots"], g["bus_factor"]))
             git = debt.git_score(g["hotspots"], g["bus_factor"])
-        issues = self.spark.createDataFrame([], ", ".join(f"{c} string" for c in debt.ISSUE))
+        issues = debt.no_issues(self.spark)
         for p in parts:
             issues = issues.unionByName(p)
         if commits is not None:
@@ -138,10 +137,44 @@ class Quarry:
     def branch_diff(self, base: str, head: str) -> diffs.BranchDiff:
         return diffs.BranchDiff(*self.tables(base), *self.tables(head))
 
-    def provision(self, name: str, ref: str, sha: str) -> str:
-        w = self.workspace(name)
-        meta = {r.key: r.value for r in w.table("meta").collect()}
-        return provisioning(meta, w.table("entities").limit(1).count(), ref, sha)
+    def provision(self, name: str, ref: str, sha: str, path: str) -> str:
+        """Makes a workspace the snapshot of a ref from an interchange file: 'created', 'reused' or 'rebuilt'."""
+
+        def load() -> tuple[DataFrame, DataFrame]:
+            records = ndjson.read(self.spark, path)
+            return ndjson.entities(records), ndjson.relations(records)
+
+        return self.workspace(name).provision(ref, sha, load)
+
+    # from files, for the command line
+
+    def impact_of_diff(self, name: str, diff_path: str, depth: int = 2, full: bool = False) -> dict[str, DataFrame]:
+        """Impact of a unified diff on a workspace; its symbols are the entities whose source has a range of lines."""
+        place = r"^(.*):(\d+)-(\d+)$"
+        part = lambda i: F.regexp_extract("source_id", place, i)
+        e = self.tables(name)[0].where(F.col("source_id").rlike(place))
+        symbols = e.select(part(1).alias("file"), F.col("entity_name").alias("name"), part(2).cast("int").alias("line_start"), part(3).cast("int").alias("line_end"))
+        return self.impact(name, textlogs.changed_files(textlogs.lines(self.spark, diff_path)), symbols, depth, full)
+
+    def check_files(self, name: str, listing_path: str) -> dict[str, DataFrame]:
+        """Freshness against a Parquet table of files."""
+        return self.check(name, self.spark.read.parquet(listing_path))
+
+    def git_metrics_of_log(self, log_path: str) -> dict[str, DataFrame]:
+        return self.git_metrics(textlogs.commits(textlogs.lines(self.spark, log_path)))
+
+    def trends_of(self, snapshots_path: str, entity: str | None = None, metric: str | None = None, months: int = 6) -> DataFrame:
+        return self.trends(history.dedupe_snapshots(reports.read_snapshots(self.spark, snapshots_path)), entity, metric, months)
+
+    def branch_summary(self, base: str, head: str) -> dict[str, DataFrame]:
+        d = self.branch_diff(base, head)
+        return {"summary": d.summary(), "edges": d.edges(), "broken_chains": d.broken_chains(), "new_chains": d.new_chains(), "modules": d.top_modules()}
+
+    def update(self, name: str, path: str, mode: str = "auto", listing_path: str | None = None, fingerprint: str | None = None) -> dict[str, object]:
+        """Brings a workspace up to an interchange file; ``listing_path`` names the changed files, one per line."""
+        records = ndjson.read(self.spark, path)
+        changed = textlogs.listing(textlogs.lines(self.spark, listing_path)) if listing_path else None
+        return self.workspace(name).refresh(mode, ndjson.entities(records), ndjson.relations(records), changed, fingerprint)
 
     def similar(self, entity: str, names: list[str] | None = None) -> DataFrame:
         return search.similar({n: self.tables(n) for n in names or self.list()}, entity)

@@ -1,7 +1,7 @@
 """python -m quarrygraph.cli ROOT COMMAND [ARGS] [--OPTION VALUE]: prints the JSON envelope of an analysis.
 
-Commands are the methods of ``api.Quarry`` that take names, texts and numbers: list, info, find, graph, deps, overview,
-topology, compare, similar, import_ndjson, debt, drop.
+Commands are the methods of ``api.Quarry`` that take names, paths, texts and numbers. Searching by vector and embedding
+need a model and are called from Python.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import sys
 
 from quarrygraph.api import Quarry, print_envelope
 
-COMMANDS = ["list", "info", "find", "find_with_relations", "graph", "deps", "overview", "topology", "compare", "similar", "import_ndjson", "debt", "drop"]
+COMMANDS = ["list", "info", "find", "find_with_relations", "graph", "deps", "overview", "topology", "compare", "similar", "import_ndjson", "debt", "drop", "impact_of_diff", "check_files", "git_metrics_of_log", "trends_of", "branch_summary", "update", "provision"]
 
 
 def _value(text: str) -> object:

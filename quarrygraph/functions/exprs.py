@@ -6,19 +6,26 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Names that are not part of an analysed code base.
-LIBRARY_NAMES = (
-    "len str int float bool list dict set tuple isinstance issubclass hasattr getattr setattr print range enumerate zip map filter "
-    "super type object None True False logging asyncio json os sys pathlib asyncio.run json.dumps json.loads"
-).split()
-# Last segments of generic method calls.
-GENERIC_METHODS = "get append extend items keys values strip split replace format encode decode join pop update add remove clear startswith endswith lower upper".split()
+LIBRARY_NAMES = [
+    "len", "str", "int", "float", "bool", "list", "dict", "set", "tuple", "isinstance", "issubclass", "hasattr", "getattr", "setattr",
+    "print", "range", "enumerate", "zip", "map", "filter", "super", "type", "object", "None", "True", "False", "logging", "asyncio", "json",
+    "os", "sys", "pathlib", "asyncio.run", "json.dumps", "json.loads",
+]
+# Ends of generic method calls.
+GENERIC_METHODS = [
+    ".get", ".append", ".extend", ".items", ".keys", ".values", ".strip", ".split", ".replace", ".format", ".encode", ".decode", ".join",
+    ".pop", ".update", ".add", ".remove", ".clear", ".startswith", ".endswith", ".lower", ".upper",
+]
 # Names that may have no relations.
-UNLINKED_NAMES = (
-    "EntityData RelationData CompareResult DepsResult TopologyResult ImpactResult OverviewResult CouplingMetrics SimilarResult ChangedFile "
-    "ChangedSymbol Caller EmbeddingResult to_dict __post_init__ ChangeType ErrorCode reset_settings workspace"
-).split()
+UNLINKED_NAMES = [
+    "EntityData", "RelationData", "CompareResult", "DepsResult", "TopologyResult", "ImpactResult", "OverviewResult", "CouplingMetrics",
+    "SimilarResult", "ChangedFile", "ChangedSymbol", "Caller", "EmbeddingResult", "to_dict", "__post_init__", "ChangeType", "ErrorCode",
+    "reset_settings", "workspace",
+]
 # Ends of class names that may have no relations.
-UNLINKED_ENDS = "Analyzer Extractor Parser Assessor Client Config Result Info Error Data DTO Model Schema".split()
+UNLINKED_ENDS = [
+    "Analyzer", "Extractor", "Parser", "Assessor", "Client", "Config", "Result", "Info", "Error", "Data", "DTO", "Model", "Schema",
+]
 # Names that everything may depend on.
 SHARED_NAMES = ["output_success", "output_error", "output_partial_error", "get_settings", "get_auto_workspace"]
 # Functions that are long by nature, matched from the start of the name.
@@ -111,7 +118,7 @@ def is_test_file(path: Column) -> Column:
 
 
 def is_noise(name: Column) -> Column:
-    return name.isin(LIBRARY_NAMES) | name.rlike(rf"\.({'|'.join(GENERIC_METHODS)})$")
+    return name.isin(LIBRARY_NAMES) | name.rlike(f"({'|'.join(m.replace('.', chr(92) + '.') for m in GENERIC_METHODS)})$")
 
 
 def is_external(kind: Column, source: Column) -> Column:
@@ -130,7 +137,11 @@ def may_be_unlinked(name: Column, source: Column) -> Column:
 
 
 def is_intricate(name: Column) -> Column:
-    return name.rlike(f"^(?:{'|'.join(INTRICATE_FUNCTIONS)})")
+    return name.rlike(intricate_pattern())
+
+
+def intricate_pattern() -> str:
+    return f"^(?:{'|'.join(INTRICATE_FUNCTIONS)})"
 
 
 def is_core_module(path: Column) -> Column:

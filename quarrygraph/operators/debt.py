@@ -2,20 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarrygraph.functions import exprs as X
 from quarrygraph.operators.graph import Topology
+from quarrygraph.operators.ranks import ranked
 
 ISSUE = ["source", "severity", "category", "entity", "entity_type", "file"]
+#: What an issue says beside these: how sure it is, what to do, and the figures behind it.
+DETAIL = ["confidence", "suggestion", "metrics"]
 # A share of the score each.
 WEIGHTS = {"quality": 0.4, "maintainability": 0.3, "structure": 0.3}
 
 
-def _issue(df: DataFrame, source: str, severity: object, category: str, entity: str, kind: object, file: str) -> DataFrame:
-    lit = lambda x: F.lit(x) if isinstance(x, str) else x
-    return df.select(F.lit(source).alias("source"), lit(severity).alias("severity"), F.lit(category).alias("category"), F.expr(entity).alias("entity"), lit(kind).alias("entity_type"), F.expr(file).alias("file"))
+def _issue(df: DataFrame, source: str, severity: object, category: str, entity: str, kind: object, file: str, suggestion: object = None, confidence: object = None, **metrics: str) -> DataFrame:
+    lit = lambda x: F.lit(x).cast("string") if x is None or isinstance(x, str) else x
+    figures = F.create_map(*[c for k, v in metrics.items() for c in (F.lit(k), F.expr(v).cast("double"))]) if metrics else F.create_map().cast("map<string,double>")
+    return df.select(
+        F.lit(source).alias("source"), lit(severity).alias("severity"), F.lit(category).alias("category"), F.expr(entity).alias("entity"), lit(kind).alias("entity_type"), F.expr(file).alias("file"), lit(confidence).alias("confidence"), lit(suggestion).alias("suggestion"), figures.alias("metrics")
+    )
+
+
+def no_issues(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], ", ".join(f"{c} string" for c in [*ISSUE, *DETAIL[:2]]) + ", metrics map<string,double>")
 
 
 def in_scope(path: str, scope: str):  # noqa: ANN201
@@ -23,12 +33,14 @@ def in_scope(path: str, scope: str):  # noqa: ANN201
 
 
 def static_issues(report: DataFrame, scope: str = "") -> DataFrame:
-    """Giant files, giant functions and test smells of reports (see ``sources.reports``)."""
+    """Giant files, giant functions and test smells of reports (see ``sources.reports``); a file without a maintainability score has 5."""
     rows = lambda c: report.select(F.explode(c).alias("x")).select("x.*").where(in_scope("path", scope))
     base = "element_at(split(path, '/'), -1)"
-    files = _issue(rows("giant_files"), "static", F.when(F.col("severity") == "critical", "P0").otherwise("P1"), "god_class", base, "file", "path")
-    funcs = _issue(rows("giant_functions"), "static", "P1", "god_function", "function_name", "function", "path")
-    smells = _issue(rows("test_smells"), "static", "P2", "test_smell", base, "file", "path")
+    score = report.select(F.explode("maintainability_scores").alias("x")).groupBy(F.col("x.path").alias("path")).agg(F.max("x.score").alias("_s"))
+    giant = rows("giant_files").join(score, "path", "left")
+    files = _issue(giant, "static", F.when(F.col("severity") == "critical", "P0").otherwise("P1"), "god_class", base, "file", "path", "Consider splitting into multiple files", lines="lines", maintainability_score="coalesce(_s, 5.0)", total_score="0")
+    funcs = _issue(rows("giant_functions"), "static", "P1", "god_function", "function_name", "function", "path", "Refactor into smaller functions", lines="lines", complexity="coalesce(complexity, 0)", total_score="0")
+    smells = _issue(rows("test_smells"), "static", "P2", "test_smell", base, "file", "path", F.concat(F.lit("Fix "), F.col("type")), start_line="coalesce(line_number, 0)")
     return files.unionByName(funcs).unionByName(smells)
 
 
@@ -52,12 +64,15 @@ def breakdown(report: DataFrame) -> DataFrame:
 
 def topology_issues(t: Topology) -> DataFrame:
     low = F.col("reason") == "neighbors_unresolved"
+    why = F.when(low, "Its edges are unresolved: look at the resolved ratio before taking it for dead code").otherwise("Connect it to other entities or consider removing it if unused")
+    intricate = X.is_intricate(F.col("entity"))
+    split = F.when(intricate, "Parsers, generators and commands are intricate by nature: refactoring helps reading but is not urgent").otherwise("High fan-out: refactor into smaller functions")
     parts = [
-        _issue(t.orphans(), "topology", F.when(low, "P2").otherwise("P1"), "orphan_entity", "entity", F.col("type"), "source_id"),
-        _issue(t.hubs(), "topology", "P1", "hub_fragility", "entity", F.col("type"), "source_id"),
-        _issue(t.gods(), "topology", F.when(X.is_intricate(F.col("entity")), "P1").otherwise("P0"), "god_function", "entity", F.col("type"), "source_id"),
-        _issue(t.placeholders(), "topology", "P2", "placeholder_module", "module", "module", "''"),
-        _issue(t.coupling().where("density > 0.5"), "topology", "P1", "coupling_density", "'cross-module'", "system", "''"),
+        _issue(t.orphans(), "topology", F.when(low, "P2").otherwise("P1"), "orphan_entity", "entity", F.col("type"), "source_id", why, F.when(low, "low").otherwise("medium"), in_degree="0", out_degree="0"),
+        _issue(t.hubs(), "topology", "P1", "hub_fragility", "entity", F.col("type"), "source_id", "High fan-in is fragile: consider splitting its responsibilities", in_degree="degree"),
+        _issue(t.gods(), "topology", F.when(intricate, "P1").otherwise("P0"), "god_function", "entity", F.col("type"), "source_id", split, out_degree="degree", is_domain_complexity=f"CASE WHEN entity rlike '{X.intricate_pattern()}' THEN 1 ELSE 0 END"),
+        _issue(t.placeholders(), "topology", "P2", "placeholder_module", "module", "module", "''", "So few entities suggest an unfinished module", entity_count="entities"),
+        _issue(t.coupling().where("density > 0.5"), "topology", "P1", "coupling_density", "'cross-module'", "system", "''", F.format_string("Coupling density is %.2f: consider another architecture", "density"), density="density", cross_module_relations="cross_module", intra_module_relations="intra_module"),
     ]
     out = parts[0]
     for p in parts[1:]:
@@ -66,8 +81,8 @@ def topology_issues(t: Topology) -> DataFrame:
 
 
 def git_issues(hot: DataFrame, silos: DataFrame) -> DataFrame:
-    a = _issue(hot.where("score >= 80"), "git", "P0", "critical_hotspot", "file", "file", "file")
-    return a.unionByName(_issue(silos.where("risk = 'critical'"), "git", "P1", "knowledge_silo", "file", "file", "file"))
+    a = _issue(hot.where("score >= 80"), "git", "P0", "critical_hotspot", "file", "file", "file", "Changes often and much: test it well and consider splitting it", score="score", commits="commits", lines="lines")
+    return a.unionByName(_issue(silos.where("risk = 'critical'"), "git", "P1", "knowledge_silo", "file", "file", "file", F.concat(F.lit("Only "), F.col("owner"), F.lit(" knows it: share the knowledge")), contributors="contributors", ownership="ownership", commits="commits"))
 
 
 def git_score(hot: DataFrame, silos: DataFrame) -> DataFrame:
@@ -78,23 +93,23 @@ def git_score(hot: DataFrame, silos: DataFrame) -> DataFrame:
 
 
 def enriched(issues: DataFrame, metrics: DataFrame) -> DataFrame:
-    """Adds ``confidence`` of orphans by the age of the file's last change, and ``is_hotspot`` of god functions in files
-    that changed more than ten times, which become P0. The line numbers in ``file`` are not part of the path."""
+    """Issues with what the history says of their files: the age of the last change settles the ``confidence`` of orphans,
+    god functions in files that changed more than ten times are ``is_hotspot`` and become P0. Files without history keep
+    what they have. The line numbers in ``file`` are not part of the path."""
     m = metrics.select(F.col("file").alias("_f"), "modified_days", F.col("commits").alias("_c"))
     j = issues.withColumn("_f", X.without_lines(F.col("file"))).join(m, "_f", "left")
     d = F.col("modified_days")
-    conf = F.when((F.col("category") == "orphan_entity") & d.isNotNull(), F.when(d > 365, "high").when(d > 90, "medium").otherwise("low"))
+    aged = (F.col("category") == "orphan_entity") & d.isNotNull()
+    conf = F.when(aged, F.when(d > 365, "high").when(d > 90, "medium").otherwise("low")).otherwise(F.col("confidence"))
     hot = F.coalesce((F.col("category") == "god_function") & (F.col("_c") > 10), F.lit(False))
-    return j.select("source", F.when(hot, "P0").otherwise(F.col("severity")).alias("severity"), *ISSUE[2:], conf.alias("confidence"), hot.alias("is_hotspot"))
+    more = F.when(aged & (d > 365), " (unchanged for over a year)").when(aged & (d <= 90), " (changed lately, may be new)").when(hot, F.concat(F.lit(" (hotspot: "), F.col("_c"), F.lit(" changes)"))).otherwise("")
+    figures = F.when(aged, F.map_concat("metrics", F.create_map(F.lit("last_modified_days"), d.cast("double")))).when(hot, F.map_concat("metrics", F.create_map(F.lit("change_frequency"), F.col("_c").cast("double")))).otherwise(F.col("metrics"))
+    return j.select("source", F.when(hot, "P0").otherwise(F.col("severity")).alias("severity"), *ISSUE[2:], conf.alias("confidence"), F.concat("suggestion", more).alias("suggestion"), figures.alias("metrics"), hot.alias("is_hotspot"))
 
 
 def numbered(issues: DataFrame) -> DataFrame:
-    """Issues with ids 'debt-001' and so on by source, severity, category, entity and file. Groups are numbered from their counts, so no task sorts all issues."""
-    key = ["source", "severity", "category"]
-    n = issues.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
-    base = n.select(*key, (F.sum("_n").over(Window.orderBy(*key).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_base"))
-    row = F.row_number().over(Window.partitionBy(*key).orderBy("entity", "file"))
-    return issues.withColumn("_r", row).join(F.broadcast(base), key).select(F.format_string("debt-%03d", F.col("_base") + F.col("_r")).alias("id"), *issues.columns)
+    """Issues with ids 'debt-001' and so on by source, severity, category, entity and file."""
+    return ranked(issues, ["source", "severity", "category", "entity", "file"], "_r").select(F.format_string("debt-%03d", F.col("_r")).alias("id"), *issues.columns)
 
 
 def issue_counts(issues: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrygraph.functions import exprs as X
-from quarrygraph.operators.graph import edges_of, named, resolvable
+from quarrygraph.operators.graph import both_known, edges_of, named, resolvable
 from quarrygraph.session import Scratch
 
 LIST_CAP = 50
@@ -53,6 +53,7 @@ class BranchDiff:
     def __init__(self, base_ent: DataFrame, base_rel: DataFrame, head_ent: DataFrame, head_rel: DataFrame):
         work = Scratch(base_ent.sparkSession)
         self.base_ent, self.head_ent = work.cut(named(base_ent)), work.cut(named(head_ent))
+        self._all = {"base": edges_of(base_rel), "head": edges_of(head_rel)}
         self._edges = work.cut(edge_diff(resolvable(edges_of(base_rel), self.base_ent), resolvable(edges_of(head_rel), self.head_ent)))
 
     def entities(self) -> DataFrame:
@@ -103,6 +104,13 @@ class BranchDiff:
     def top_modules(self) -> DataFrame:
         return self.module_delta().orderBy(F.desc(F.col("edges_added") + F.col("edges_removed")), "module").limit(MODULE_CAP)
 
+    def unresolved(self) -> DataFrame:
+        """One row (base_unresolved_edges, head_unresolved_edges): edge rows of each side with an end that is no entity of it."""
+        sides = [("base", self.base_ent), ("head", self.head_ent)]
+        one = lambda side, ents: both_known(self._all[side].select("src", "tgt"), ents).agg(F.coalesce(F.sum(F.when(~F.col("known"), F.col("n"))), F.lit(0)).alias(f"{side}_unresolved_edges")).withColumn("one", F.lit(1))
+        a, b = [one(*s) for s in sides]
+        return a.join(F.broadcast(b), "one").drop("one")
+
     def summary(self) -> DataFrame:
         """One row of uncapped totals."""
         one = lambda df, *a: df.agg(*a).withColumn("one", F.lit(1))
@@ -114,6 +122,7 @@ class BranchDiff:
             one(self.broken_chains(), count("broken_chains")),
             one(self.new_chains(), count("new_chains")),
             one(self.module_delta(), count("modules_changed")),
+            self.unresolved().withColumn("one", F.lit(1)),
         ]
         for p in parts:
             out = out.join(F.broadcast(p), "one")

@@ -108,12 +108,17 @@ def coupled_pairs(relations: DataFrame, entities: DataFrame, top: int = 5) -> Da
 
 def resolution(relations: DataFrame, entities: DataFrame) -> DataFrame:
     """One row (edges, resolvable, ratio) of edge rows and those whose ends are both entities; ratio null without edges."""
-    marks = _both_known(relations.select(F.col("src_id").alias("src"), F.col("tgt_id").alias("tgt")), named(entities))
+    marks = both_known(relations.select(F.col("src_id").alias("src"), F.col("tgt_id").alias("tgt")), named(entities))
     n, ok = F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("known"), F.col("n"))), F.lit(0))
     return marks.agg(n.alias("edges"), ok.alias("resolvable")).select("edges", "resolvable", F.round(F.col("resolvable") / F.nullif("edges", F.lit(0)), 4).alias("ratio"))
 
 
-def _both_known(pairs: DataFrame, entities: DataFrame) -> DataFrame:
+def resolution_caveat(ratio: Column) -> Column:
+    """What to say of a graph under half of whose edges are resolved; null if they are or if the ratio is unknown."""
+    return F.when(ratio < 0.5, F.concat(F.lit("edge resolution ratio "), F.format_string("%.1f%%", ratio * 100), F.lit(" is below 50%: orphans and the score may tell of unresolved edges, not of dead code")))
+
+
+def both_known(pairs: DataFrame, entities: DataFrame) -> DataFrame:
     """(known, n): how many pairs have both ends among the entities, counted by distinct pair first."""
     by_pair = pairs.groupBy("src", "tgt").agg(F.count(F.lit(1)).alias("n"))
     names = entities.select(F.col("entity_name").alias("src"), F.lit(True).alias("_s")).distinct()
@@ -171,6 +176,14 @@ class Topology:
     def gods(self) -> DataFrame:
         return self._degree("src", self.god)
 
+    def ordered_hubs(self) -> DataFrame:
+        """(entity, type, source_id, in_degree): the hubs by falling degree, then by name."""
+        return self.hubs().withColumnRenamed("degree", "in_degree").orderBy(F.desc("in_degree"), "entity")
+
+    def ordered_gods(self) -> DataFrame:
+        """(entity, type, source_id, out_degree): the god functions by falling degree, then by name."""
+        return self.gods().withColumnRenamed("degree", "out_degree").orderBy(F.desc("out_degree"), "entity")
+
     def samples(self, end: str, found: DataFrame, n: int = 5) -> DataFrame:
         """(entity, sample): up to ``n`` neighbours by name of each found entity, merged from bounded partial lists."""
         other = "src" if end == "tgt" else "tgt"
@@ -200,9 +213,9 @@ class Topology:
         return p.orderBy(F.desc("n"), "from_module", "to_module").limit(top)
 
     def resolution(self) -> DataFrame:
-        """One row (edges, resolvable, ratio, low): of all relation rows; ``low`` if under a half are resolvable."""
+        """One row (edges, resolvable, ratio, low, caveat): of all relation rows; ``low`` if under a half are resolvable."""
         r = resolution(self.relations, self.all)
-        return r.withColumn("low", F.coalesce(F.col("ratio") < 0.5, F.lit(False)))
+        return r.withColumn("low", F.coalesce(F.col("ratio") < 0.5, F.lit(False))).withColumn("caveat", resolution_caveat(F.col("ratio")))
 
     def score(self) -> DataFrame:
         """One row: the counts behind the score and the score, 100 less capped penalties."""
@@ -244,8 +257,9 @@ def common_prefix(entities: DataFrame) -> str:
     return "/".join(same) + "/" if same else ""
 
 
-def store_topology(relations: DataFrame, entities: DataFrame, hub: int = 8, god: int = 10, module: str = "", scope: str = "", prefix: str | None = None) -> dict[str, DataFrame]:
-    """Topology as the store computes it: degrees over all named entities, filters afterwards, coupling of the whole graph, no placeholders."""
+def store_topology(relations: DataFrame, entities: DataFrame, hub: int = 8, god: int = 10, module: str = "", scope: str = "", prefix: str | None = None, ratio: float | None = None) -> dict[str, DataFrame]:
+    """Topology as the store computes it: degrees over all named entities, filters afterwards, coupling of the whole graph, no
+    placeholders; ``ratio`` is the resolved ratio that the store has recorded."""
     base = common_prefix(named(entities)) if prefix is None else prefix
     within = scope or base + (f"{module}/" if module else "")
     keep = ~X.is_noise(F.col("entity")) & ~X.is_external(F.col("type"), F.col("source_id"))
@@ -256,6 +270,7 @@ def store_topology(relations: DataFrame, entities: DataFrame, hub: int = 8, god:
         "orphans": lost.select("entity", "type", "source_id", reason.alias("reason")),
         "hubs": degrees(relations, entities, "in", hub, within).where(keep & ~container & ~F.col("entity").isin(X.SHARED_NAMES)),
         "gods": degrees(relations, entities, "out", god, within).where(keep & ~container),
+        "resolution": relations.sparkSession.range(1).select(F.lit(ratio).cast("double").alias("ratio"), resolution_caveat(F.lit(ratio).cast("double")).alias("caveat")),
         "stats": graph_stats(relations, entities, base, 2),
         "most_coupled": coupled_pairs(relations, entities),
     }

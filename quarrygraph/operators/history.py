@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrygraph.functions import exprs as X
+from quarrygraph.operators.ranks import ranked
 
 RISKS = ["critical", "high", "medium", "informational"]
 
@@ -14,7 +15,7 @@ def file_metrics(commits: DataFrame, now: Column | None = None) -> DataFrame:
     """One row per file of ``commits`` (sha, author, ts as epoch seconds, message, files array of (path, added, deleted)).
 
     Commits are counted per file and author first, so a file that is in most commits costs its reducer one row per
-    author. The primary author has most commits; ties go to the least name. A null author is 'unknown'.
+    author. ``author_list`` is sorted. The primary author has most commits; ties go to the least name. A null author is 'unknown'.
     """
     now = F.unix_timestamp(F.current_timestamp()) if now is None else now
     rows = commits.select(F.coalesce("author", F.lit("unknown")).alias("author"), "ts", X.is_bug_fix(F.col("message")).cast("int").alias("fix"), F.explode("files").alias("f")).where("f.path IS NOT NULL")
@@ -24,11 +25,11 @@ def file_metrics(commits: DataFrame, now: Column | None = None) -> DataFrame:
     )
     most = F.min(F.struct((-F.col("n")).alias("n"), "author"))
     m = per.groupBy("file").agg(
-        F.sum("n").alias("commits"), F.count(F.lit(1)).alias("authors"), most["author"].alias("primary_author"), F.sum("fixes").alias("bug_fixes"), F.sum("added").alias("lines_added"), F.sum("deleted").alias("lines_deleted"), F.min("first").alias("created"), F.max("last").alias("modified")
+        F.sum("n").alias("commits"), F.count(F.lit(1)).alias("authors"), F.array_sort(F.collect_list("author")).alias("author_list"), most["author"].alias("primary_author"), F.sum("fixes").alias("bug_fixes"), F.sum("added").alias("lines_added"), F.sum("deleted").alias("lines_deleted"), F.min("first").alias("created"), F.max("last").alias("modified")
     )
     days = lambda c: F.floor((now - F.col(c)) / 86400).cast("bigint")
     return m.select(
-        "file", "commits", "authors", "primary_author", "bug_fixes", (F.col("bug_fixes") / F.col("commits")).alias("bug_fix_ratio"), "lines_added", "lines_deleted", (F.col("lines_added") + F.col("lines_deleted")).alias("churn"), days("modified").alias("modified_days"), days("created").alias("age_days")
+        "file", "commits", "authors", "author_list", "primary_author", "bug_fixes", (F.col("bug_fixes") / F.col("commits")).alias("bug_fix_ratio"), "lines_added", "lines_deleted", (F.col("lines_added") + F.col("lines_deleted")).alias("churn"), days("modified").alias("modified_days"), days("created").alias("age_days")
     )
 
 
@@ -38,11 +39,7 @@ def hotspots(metrics: DataFrame, least: int = 20) -> DataFrame:
     score = F.when((F.col("commits") > 0) & (F.col("churn") > 0), F.least(F.lit(100), raw.cast("int"))).otherwise(0)
     found = metrics.where(~X.is_generated_file(F.col("file"))).withColumn("score", score).where(F.col("score") >= least)
     lines = F.greatest(F.lit(100), F.floor(F.col("churn") / 2))
-    # ranks by counting per score first: only the scores, at most 101, are ordered in one task
-    per = found.groupBy("score").agg(F.count(F.lit(1)).alias("n"))
-    above = per.select("score", (F.sum("n").over(Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("above"))
-    within = F.row_number().over(Window.partitionBy("score").orderBy("file"))
-    return found.select("score", "file", "commits", lines.cast("bigint").alias("lines"), within.alias("w")).join(F.broadcast(above), "score").select((F.col("above") + F.col("w")).alias("rank"), "file", "commits", "lines", "score")
+    return ranked(found.select("score", "file", "commits", lines.cast("bigint").alias("lines")), [F.desc("score"), F.asc("file")]).select("rank", "file", "commits", "lines", "score")
 
 
 def bus_factor(metrics: DataFrame, commits: DataFrame) -> DataFrame:
@@ -56,8 +53,11 @@ def bus_factor(metrics: DataFrame, commits: DataFrame) -> DataFrame:
 
 def by_risk(found: DataFrame) -> DataFrame:
     """Ordered by risk, then most commits, then name."""
-    order = F.array_position(F.array(*[F.lit(r) for r in RISKS]), F.col("risk"))
-    return found.orderBy(order, F.desc("commits"), "file")
+    return found.orderBy(risk_order(), F.desc("commits"), "file")
+
+
+def risk_order() -> Column:
+    return F.array_position(F.array(*[F.lit(r) for r in RISKS]), F.col("risk"))
 
 
 def git_summary(metrics: DataFrame, hot: DataFrame, silos: DataFrame) -> DataFrame:

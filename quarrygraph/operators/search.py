@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from quarrygraph.functions import exprs as X
 from quarrygraph.functions.names import matching_ratio, ratio_bound
 from quarrygraph.operators.graph import named
+from quarrygraph.operators.ranks import ranked
+from quarrygraph.session import Scratch
 
 LEAST_SCORE = 0.4
 FUZZY = 0.7
@@ -86,6 +88,54 @@ def knn(vectors: DataFrame, query: list[float], k: int = 10, prefix: str = "", k
     return rows.withColumn("distance", l2_distance(F.col("embedding"), query)).orderBy("distance", key).limit(k).drop("embedding")
 
 
+def knn_many(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", block: int = 2000) -> DataFrame:
+    """(query, other, distance): the ``k`` rows of ``vectors`` (key, embedding) nearest to each of ``queries`` by L2, exact, ties by key.
+
+    The queries are taken in blocks of at most ``block``, each broadcast to a scan of all vectors in which a task keeps the
+    best ``k`` per query; only these are shuffled. Queries and vectors of different lengths do not meet; null keys and
+    vectors with nulls take no part.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    spark = vectors.sparkSession
+    whole = F.col(key).isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull())
+    asked = Scratch(spark).cut(ranked(queries.where(whole).select(F.col(key).cast("bigint").alias("q"), F.col("embedding").cast("array<double>").alias("embedding")), ["q"]))
+    n = asked.count()
+    rows = vectors.where(whole).select(F.col(key).cast("bigint").alias("key"), F.col("embedding").cast("array<double>").alias("embedding"))
+    out = None
+    for lo in range(0, max(n, 1), block):
+        part = asked.where((F.col("rank") > lo) & (F.col("rank") <= lo + block)).toPandas()
+        held = spark.sparkContext.broadcast({size: (g["q"].to_numpy(), np.array(g["embedding"].tolist())) for size, g in part.groupby(part["embedding"].map(len))})
+
+        def near(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+            for b in batches:
+                sizes = np.array([len(v) for v in b["embedding"]], int)
+                for size, (q, x) in held.value.items():
+                    at = np.flatnonzero(sizes == size)
+                    if not len(at) or not size:
+                        continue
+                    keys, v = b["key"].to_numpy()[at], b["embedding"].take(pa.array(at)).flatten().to_numpy().reshape(-1, size)
+                    for c in range(0, len(v), 4096):
+                        d = ((x**2).sum(1)[:, None] + (v[c : c + 4096] ** 2).sum(1)[None, :] - 2 * x @ v[c : c + 4096].T).clip(0)
+                        d0, k0 = best.get(size, (np.empty((len(q), 0)), np.empty((len(q), 0), np.int64)))
+                        d, ks = np.concatenate([d0, d], 1), np.concatenate([k0, np.broadcast_to(keys[c : c + 4096], (len(q), len(keys[c : c + 4096])))], 1)
+                        # some more than k are kept, as the fast form of the distance is not exact to the last digit
+                        top = np.argpartition(d, min(2 * k, d.shape[1]) - 1, axis=1)[:, : 2 * k]
+                        best[size] = np.take_along_axis(d, top, 1), np.take_along_axis(ks, top, 1)
+            for size, (_, ks) in best.items():
+                q, x = held.value[size]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q, ks.shape[1])), pa.array(ks.ravel())], ["query", "other"])
+
+        met = rows.mapInArrow(near, "query bigint, other bigint")
+        out = met if out is None else out.unionByName(met)
+    met = out.distinct().join(asked.select(F.col("q").alias("query"), F.col("embedding").alias("_a")), "query").join(rows.select(F.col("key").alias("other"), F.col("embedding").alias("_b")), "other")
+    exact = F.sqrt(F.aggregate(F.zip_with("_a", "_b", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
+    found = met.groupBy("query").agg(F.slice(F.array_sort(F.collect_list(F.struct(exact.alias("distance"), "other"))), 1, k).alias("f"))
+    return found.select("query", F.explode("f").alias("f")).select("query", "f.other", "f.distance")
+
+
 def as_score(distance: Column) -> Column:
     """Distance of unit vectors as a similarity from 0 to 1, three digits."""
     return F.bround(F.greatest(F.lit(0.0), 1 - distance * distance / 2), 3)

@@ -41,17 +41,14 @@ def digest() -> object:
     return F.try_variant_get(F.try_parse_json("properties_json"), "$.content_hash", "string")
 
 
-def commits(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    """Orders as commits of customers to parts: ``whole``, all of them by o_custkey, else to the parts of which they order at least 49, by 40 authors."""
-    li = table(spark, d, "lineitem")
-    if not whole:
-        li = li.where("l_quantity >= 49")
-    li = li.groupBy("l_orderkey", "l_partkey").agg(F.sum("l_quantity").cast("bigint").alias("added"), F.sum("l_linenumber").cast("bigint").alias("deleted"))
-    f = F.struct(F.format_string("src/p%d/m%d.py", F.col("l_partkey") % 7, F.col("l_partkey")).alias("path"), "added", "deleted")
-    files = li.groupBy("l_orderkey").agg(F.collect_list(f).alias("files"))
+def commits(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as commits of their customers to files: one file per part, of every seventh part one per line number and quantity, so that files of one author occur."""
+    file = F.when(F.col("l_partkey") % 7 == 0, F.format_string("src/p0/m%d_%d_%d.py", "l_partkey", F.col("l_linenumber").cast("bigint"), F.col("l_quantity").cast("bigint"))).otherwise(F.format_string("src/p%d/m%d.py", F.col("l_partkey") % 7, F.col("l_partkey")))
+    li = table(spark, d, "lineitem").groupBy("l_orderkey", file.alias("path")).agg(F.sum("l_quantity").cast("bigint").alias("added"), F.sum("l_linenumber").cast("bigint").alias("deleted"))
+    files = li.groupBy("l_orderkey").agg(F.collect_list(F.struct("path", "added", "deleted")).alias("files"))
     o = table(spark, d, "orders")
     subject = F.concat(F.when(F.col("o_orderkey") % 5 == 0, "fix: ").otherwise("feat: "), F.lower("o_orderpriority"))
-    return o.join(files, F.col("o_orderkey") == F.col("l_orderkey")).select(F.lower(F.hex("o_orderkey")).alias("sha"), F.concat(F.lit("c"), F.col("o_custkey") if whole else F.col("o_custkey") % 40).alias("author"), F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).alias("ts"), subject.alias("message"), "files")
+    return o.join(files, F.col("o_orderkey") == F.col("l_orderkey")).select(F.lower(F.hex("o_orderkey")).alias("sha"), F.concat(F.lit("c"), F.col("o_custkey")).alias("author"), F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).alias("ts"), subject.alias("message"), "files")
 
 
 # the same in SQL
@@ -73,7 +70,7 @@ def sql_module(s: str, depth: int) -> str:
 
 
 ANALYSED = f"""a AS (SELECT * FROM e WHERE coalesce(entity_type, '') <> 'external' AND coalesce(source_id, '') <> 'external' AND entity_name NOT IN ({quoted(X.LIBRARY_NAMES)})
- AND NOT regexp_matches(entity_name, '\\.({"|".join(X.GENERIC_METHODS)})$')),
+ AND NOT regexp_matches(entity_name, '\\.({"|".join(m[1:] for m in X.GENERIC_METHODS)})$')),
  ra AS (SELECT * FROM ed WHERE src IN (SELECT entity_name FROM a) AND tgt IN (SELECT entity_name FROM a)),
  m AS (SELECT entity_name, {sql_module("source_id", 2)} AS module FROM a),
  pairs AS (SELECT s.module AS from_module, t.module AS to_module, kind FROM ed JOIN m s ON s.entity_name = src JOIN m t ON t.entity_name = tgt)"""
@@ -104,13 +101,12 @@ BRANCH = (
  h AS (SELECT src_id AS src, tgt_id AS tgt, keywords AS kind FROM hr WHERE src_id IN (SELECT entity_name FROM he) AND tgt_id IN (SELECT entity_name FROM he) AND src_id <> '' AND tgt_id <> ''),
  ch AS (SELECT *, 'removed' AS change FROM (FROM b EXCEPT FROM h) UNION ALL SELECT *, 'added' FROM (FROM h EXCEPT FROM b))"""
 )
-COMMITS = """li AS (SELECT l_orderkey, l_partkey, CAST(sum(l_quantity) AS BIGINT) AS added, CAST(sum(l_linenumber) AS BIGINT) AS deleted FROM lineitem WHERE l_quantity >= 49 GROUP BY 1, 2),
- c AS (SELECT 'src/p' || (l_partkey % 7) || '/m' || l_partkey || '.py' AS file, 'c' || (o_custkey % 40) AS author, CAST(epoch(o_orderdate) AS BIGINT) AS ts, CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END AS fix, added, deleted, o_orderkey FROM li JOIN orders ON o_orderkey = l_orderkey),
+COMMITS = """li AS (SELECT l_orderkey, CASE WHEN l_partkey % 7 = 0 THEN 'src/p0/m' || l_partkey || '_' || l_linenumber || '_' || CAST(l_quantity AS BIGINT) || '.py' ELSE 'src/p' || (l_partkey % 7) || '/m' || l_partkey || '.py' END AS file,
+  CAST(sum(l_quantity) AS BIGINT) AS added, CAST(sum(l_linenumber) AS BIGINT) AS deleted FROM lineitem GROUP BY 1, 2),
+ c AS (SELECT file, 'c' || o_custkey AS author, CAST(epoch(o_orderdate) AS BIGINT) AS ts, CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END AS fix, added, deleted, o_orderkey FROM li JOIN orders ON o_orderkey = l_orderkey),
  per AS (SELECT file, author, count(*) AS n FROM c GROUP BY 1, 2),
  fm AS (SELECT file, count(*) AS commits, count(DISTINCT author) AS authors, (SELECT author FROM per WHERE per.file = c.file ORDER BY n DESC, author LIMIT 1) AS primary_author, CAST(sum(fix) AS BIGINT) AS bug_fixes,
   CAST(sum(added) AS BIGINT) AS lines_added, CAST(sum(deleted) AS BIGINT) AS lines_deleted, max(ts) AS modified, min(ts) AS created FROM c GROUP BY file),
  hs AS (SELECT *, CASE WHEN lines_added + lines_deleted > 0 THEN least(100, CAST(trunc(commits * log10(lines_added + lines_deleted + 1) * 10) AS INTEGER)) ELSE 0 END AS score FROM fm),
  hot AS (SELECT row_number() OVER (ORDER BY score DESC, file) AS rank, file, commits, greatest(100, (lines_added + lines_deleted) // 2) AS lines, score FROM hs WHERE score >= 20),
  silo AS (SELECT file, primary_author AS owner, authors AS contributors, CAST(CASE WHEN authors = 1 THEN 1.0 ELSE 0.75 END AS DOUBLE) AS ownership, commits, CASE WHEN (SELECT count(DISTINCT author) FROM c) = 1 THEN 'informational' WHEN authors = 1 THEN 'critical' ELSE 'high' END AS risk FROM fm WHERE authors <= 2)"""
-#: The same over all rows, with the customer as author.
-WHOLE_COMMITS = COMMITS.replace(" WHERE l_quantity >= 49", "").replace("(o_custkey % 40)", "o_custkey")

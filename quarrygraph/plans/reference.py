@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +9,7 @@ from quarrygraph.functions import exprs as X
 from quarrygraph.functions.names import matching_ratio
 from quarrygraph.operators import debt, diffs, graph, history, impact, modules, search, store, traverse
 from quarrygraph.plans import graphs as G
-from quarrygraph.plans.registry import SQL, query
+from quarrygraph.plans.registry import query
 from quarrygraph.session import table
 from quarrygraph.sources import foreign, ndjson, textlogs
 from quarrygraph.streaming.ingest import windowed_counts
@@ -115,7 +113,7 @@ _RATIO = "(SELECT count(*) FROM r WHERE src_id IN (SELECT entity_name FROM {0})
 
 @query("resolution_ratio", f"WITH {G.GRAPH}, {G.ANALYSED} SELECT (SELECT count(*) FROM r) AS edges, {_RATIO.format('a')} AS resolvable, round({_RATIO.format('a')} / (SELECT count(*) FROM r), 4) AS ratio, {_RATIO.format('a')} / (SELECT count(*) FROM r) < 0.5 AS low")
 def resolution_ratio(spark: SparkSession, d: str) -> DataFrame:
-    return _topology(spark, d).resolution()
+    return _topology(spark, d).resolution().drop("caveat")
 
 
 @query("placeholder_modules", f"WITH {G.GRAPH}, {G.ANALYSED} SELECT module, count(*) AS entities FROM m JOIN a USING (entity_name) WHERE source_id <> '' GROUP BY module HAVING bool_and(ends_with(entity_name, '__init__'))")
@@ -317,7 +315,7 @@ def module_delta_top(spark: SparkSession, d: str) -> DataFrame:
     "branch_summary",
     f"""WITH {G.BRANCH}, {_MD} SELECT (SELECT count(*) FROM he WHERE entity_name NOT IN (SELECT entity_name FROM be)) AS entities_added, (SELECT count(*) FROM be WHERE entity_name NOT IN (SELECT entity_name FROM he)) AS entities_removed,
  (SELECT count(*) FROM be WHERE entity_name IN (SELECT entity_name FROM he)) AS entities_shared, (SELECT count(*) FILTER (WHERE change = 'added') FROM ch) AS edges_added, (SELECT count(*) FILTER (WHERE change = 'removed') FROM ch) AS edges_removed,
- (SELECT count(*) FROM ch WHERE change = 'removed' AND src IN (SELECT entity_name FROM he)) AS broken_chains, (SELECT count(*) FROM ch WHERE change = 'added' AND src IN (SELECT entity_name FROM be)) AS new_chains, (SELECT count(*) FROM md) AS modules_changed""",
+ (SELECT count(*) FROM ch WHERE change = 'removed' AND src IN (SELECT entity_name FROM he)) AS broken_chains, (SELECT count(*) FROM ch WHERE change = 'added' AND src IN (SELECT entity_name FROM be)) AS new_chains, (SELECT count(*) FROM md) AS modules_changed, (SELECT count(*) FROM br WHERE src_id <> '' AND tgt_id <> '' AND NOT (src_id IN (SELECT entity_name FROM be) AND tgt_id IN (SELECT entity_name FROM be))) AS base_unresolved_edges, (SELECT count(*) FROM hr WHERE src_id <> '' AND tgt_id <> '' AND NOT (src_id IN (SELECT entity_name FROM he) AND tgt_id IN (SELECT entity_name FROM he))) AS head_unresolved_edges""",
 )
 def branch_summary(spark: SparkSession, d: str) -> DataFrame:
     return _branch(spark, d).summary()
@@ -370,32 +368,32 @@ def entities_by_source(spark: SparkSession, d: str) -> DataFrame:
 # history
 
 
-@query("file_metrics", f"WITH {G.COMMITS} SELECT file, commits, authors, primary_author, bug_fixes, round(bug_fixes / commits, 9) AS bug_fix_ratio, lines_added, lines_deleted, lines_added + lines_deleted AS churn, ({G.NOW} - modified) // 86400 AS modified_days, ({G.NOW} - created) // 86400 AS age_days FROM fm")
-def file_metrics(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    return history.file_metrics(G.commits(spark, d, whole), F.lit(G.NOW)).withColumn("bug_fix_ratio", F.round("bug_fix_ratio", 9))
+@query("file_metrics", f"WITH {G.COMMITS} SELECT file, commits, authors, (SELECT string_agg(author, ',' ORDER BY author) FROM per WHERE per.file = fm.file) AS author_list, primary_author, bug_fixes, round(bug_fixes / commits, 9) AS bug_fix_ratio, lines_added, lines_deleted, lines_added + lines_deleted AS churn, ({G.NOW} - modified) // 86400 AS modified_days, ({G.NOW} - created) // 86400 AS age_days FROM fm")
+def file_metrics(spark: SparkSession, d: str) -> DataFrame:
+    return history.file_metrics(G.commits(spark, d), F.lit(G.NOW)).withColumn("bug_fix_ratio", F.round("bug_fix_ratio", 9)).withColumn("author_list", F.array_join("author_list", ","))
 
 
 @query("hotspots", f"WITH {G.COMMITS} FROM hot")
-def hotspots(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    return history.hotspots(history.file_metrics(G.commits(spark, d, whole), F.lit(G.NOW)))
+def hotspots(spark: SparkSession, d: str) -> DataFrame:
+    return history.hotspots(history.file_metrics(G.commits(spark, d), F.lit(G.NOW)))
 
 
 @query("bus_factor", f"WITH {G.COMMITS} FROM silo")
-def bus_factor(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    c = G.commits(spark, d, whole)
+def bus_factor(spark: SparkSession, d: str) -> DataFrame:
+    c = G.commits(spark, d)
     return history.bus_factor(history.file_metrics(c, F.lit(G.NOW)), c)
 
 
 @query("git_summary", f"WITH {G.COMMITS} SELECT (SELECT count(*) FROM fm) AS files, (SELECT CAST(sum(commits) AS BIGINT) FROM fm) AS changes, (SELECT count(*) FROM hot) AS hotspots, (SELECT count(*) FROM hot WHERE score >= 80) AS critical_hotspots, (SELECT count(*) FROM silo WHERE risk = 'critical') AS critical_silos")
-def git_summary(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    c = G.commits(spark, d, whole)
+def git_summary(spark: SparkSession, d: str) -> DataFrame:
+    c = G.commits(spark, d)
     m = history.file_metrics(c, F.lit(G.NOW))
     return history.git_summary(m, history.hotspots(m), history.bus_factor(m, c))
 
 
 @query("gitlog_commits", f"WITH {G.COMMITS} SELECT printf('%x', o_orderkey) AS sha, author, ts, count(*) AS files, CAST(sum(added) AS BIGINT) AS added FROM c GROUP BY o_orderkey, author, ts")
-def gitlog_commits(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    c = G.commits(spark, d, whole).withColumn("sha", F.lpad("sha", 12, "0"))
+def gitlog_commits(spark: SparkSession, d: str) -> DataFrame:
+    c = G.commits(spark, d).withColumn("sha", F.lpad("sha", 12, "0"))
     stats = F.array_join(F.transform("files", lambda f: F.concat_ws("\t", f["added"], f["deleted"], f["path"])), "\n")
     block = F.concat_ws("\n", F.concat_ws("|", "sha", "author", "ts", "message"), stats, F.lit(""))
     texts = c.groupBy(F.pmod(F.xxhash64("sha"), F.lit(64)).cast("string").alias("file")).agg(F.array_join(F.collect_list(block), "\n").alias("value"))
@@ -521,50 +519,53 @@ _ISSUES = f"""WITH {G.TOPOLOGY}, {_SCORE}, {G.COMMITS}, iss AS (SELECT 'topology
  UNION ALL SELECT 'git', 'P0', 'critical_hotspot', file, 'file', file FROM hot WHERE score >= 80 UNION ALL SELECT 'git', 'P1', 'knowledge_silo', file, 'file', file FROM silo WHERE risk = 'critical')"""
 
 
-def _issues(spark: SparkSession, d: str, whole: bool) -> tuple[DataFrame, graph.Topology, DataFrame, DataFrame, DataFrame]:
-    t, c = _topology(spark, d), G.commits(spark, d, whole)
+def _issues(spark: SparkSession, d: str) -> tuple[DataFrame, graph.Topology, DataFrame, DataFrame, DataFrame]:
+    t, c = _topology(spark, d), G.commits(spark, d)
     m = history.file_metrics(c, F.lit(G.NOW))
     hot, silos = history.hotspots(m), history.bus_factor(m, c)
     return debt.topology_issues(t).unionByName(debt.git_issues(hot, silos)), t, hot, silos, m
 
 
 @query("debt_issues", _ISSUES + " FROM iss")
-def debt_issues(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    return _issues(spark, d, whole)[0]
+def debt_issues(spark: SparkSession, d: str) -> DataFrame:
+    return _issues(spark, d)[0].select(*debt.ISSUE)
 
 
 @query("debt_numbered", _ISSUES + " SELECT printf('debt-%03d', row_number() OVER (ORDER BY source, severity, category, entity, file)) AS id, * FROM iss")
-def debt_numbered(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    return debt.numbered(_issues(spark, d, whole)[0])
+def debt_numbered(spark: SparkSession, d: str) -> DataFrame:
+    return debt.numbered(_issues(spark, d)[0].select(*debt.ISSUE))
+
+
+@query("debt_details", _ISSUES + """ SELECT category, entity, file, CASE category WHEN 'orphan_entity' THEN CASE severity WHEN 'P2' THEN 'low' ELSE 'medium' END END AS confidence,
+ CASE category WHEN 'hub_fragility' THEN (SELECT CAST(max(degree) AS DOUBLE) FROM hub WHERE hub.entity = iss.entity) WHEN 'god_function' THEN (SELECT CAST(max(degree) AS DOUBLE) FROM god WHERE god.entity = iss.entity)
+ WHEN 'coupling_density' THEN (SELECT density FROM ts) WHEN 'critical_hotspot' THEN (SELECT CAST(max(score) AS DOUBLE) FROM hot WHERE hot.file = iss.file) WHEN 'knowledge_silo' THEN (SELECT CAST(max(commits) AS DOUBLE) FROM silo WHERE silo.file = iss.file) WHEN 'orphan_entity' THEN 0.0 END AS figure FROM iss WHERE category <> 'placeholder_module'""")
+def debt_details(spark: SparkSession, d: str) -> DataFrame:
+    m = F.col("metrics")
+    figure = F.when(F.col("category") == "hub_fragility", m["in_degree"]).when(F.col("category") == "god_function", m["out_degree"]).when(F.col("category") == "coupling_density", m["density"]).when(F.col("category") == "critical_hotspot", m["score"]).when(F.col("category") == "knowledge_silo", m["commits"]).when(F.col("category") == "orphan_entity", m["in_degree"])
+    return _issues(spark, d)[0].where("category <> 'placeholder_module'").select("category", "entity", "file", "confidence", figure.alias("figure"))
 
 
 @query("debt_counts", _ISSUES + " SELECT source, severity, count(*) AS n FROM iss GROUP BY ALL")
-def debt_counts(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    return debt.issue_counts(_issues(spark, d, whole)[0])
+def debt_counts(spark: SparkSession, d: str) -> DataFrame:
+    return debt.issue_counts(_issues(spark, d)[0])
 
 
 @query("git_score", f"WITH {G.COMMITS} SELECT 100 - least(40, 15 * (SELECT count(*) FROM hot WHERE score >= 80)) - least(40, 8 * (SELECT count(*) FROM silo WHERE risk = 'critical')) AS git_score")
-def git_score(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    _, _, hot, silos, _ = _issues(spark, d, whole)
+def git_score(spark: SparkSession, d: str) -> DataFrame:
+    _, _, hot, silos, _ = _issues(spark, d)
     return debt.git_score(hot, silos)
 
 
 @query("debt_health", _ISSUES + ", n AS (SELECT count(*) FILTER (WHERE severity = 'P0') AS p0, count(*) FILTER (WHERE severity = 'P1') AS p1, count(*) FILTER (WHERE severity = 'P2') AS p2, 100.0::DOUBLE AS quality, CAST(NULL AS DOUBLE) AS maintainability, (SELECT score::DOUBLE FROM ts) AS structure FROM iss), h AS (SELECT *, CAST(trunc(round((quality * 0.4 + structure * 0.3) / 0.7, 9)) AS INTEGER) AS total FROM n) SELECT *, CASE WHEN total >= 90 THEN 'A' WHEN total >= 80 THEN 'B' WHEN total >= 70 THEN 'C' WHEN total >= 60 THEN 'D' ELSE 'F' END AS grade FROM h")
-def debt_health(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    issues, t, _, _, _ = _issues(spark, d, whole)
+def debt_health(spark: SparkSession, d: str) -> DataFrame:
+    issues, t, _, _, _ = _issues(spark, d)
     return debt.health(issues, t.score())
 
 
-@query("debt_enriched", _ISSUES + ", j AS (SELECT iss.*, fm.commits AS fc, (1900000000 - modified) // 86400 AS md FROM iss LEFT JOIN fm ON fm.file = regexp_replace(iss.file, ':[0-9-][^:]*$', '')) SELECT source, CASE WHEN category = 'god_function' AND fc > 10 THEN 'P0' ELSE severity END AS severity, category, entity, entity_type, file, CASE WHEN category = 'orphan_entity' AND md IS NOT NULL THEN CASE WHEN md > 365 THEN 'high' WHEN md > 90 THEN 'medium' ELSE 'low' END END AS confidence, coalesce(category = 'god_function' AND fc > 10, false) AS is_hotspot FROM j")
-def debt_enriched(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    issues, _, _, _, m = _issues(spark, d, whole)
-    return debt.enriched(issues, m)
-
-
-# history and debt over all of lineitem and orders
-
-for _f in (file_metrics, hotspots, bus_factor, git_summary, gitlog_commits, git_score, debt_issues, debt_numbered, debt_counts, debt_health, debt_enriched):
-    query(f"{_f.__name__}_whole", SQL[_f.__name__].replace(G.COMMITS, G.WHOLE_COMMITS))(partial(_f, whole=True))
+@query("debt_enriched", _ISSUES + ", j AS (SELECT iss.*, fm.commits AS fc, (1900000000 - modified) // 86400 AS md FROM iss LEFT JOIN fm ON fm.file = regexp_replace(iss.file, ':[0-9-][^:]*$', '')) SELECT source, CASE WHEN category = 'god_function' AND fc > 10 THEN 'P0' ELSE severity END AS severity, category, entity, entity_type, file, CASE WHEN category = 'orphan_entity' AND md IS NOT NULL THEN CASE WHEN md > 365 THEN 'high' WHEN md > 90 THEN 'medium' ELSE 'low' END WHEN category = 'orphan_entity' THEN CASE j.severity WHEN 'P2' THEN 'low' ELSE 'medium' END END AS confidence, coalesce(category = 'god_function' AND fc > 10, false) AS is_hotspot FROM j")
+def debt_enriched(spark: SparkSession, d: str) -> DataFrame:
+    issues, _, _, _, m = _issues(spark, d)
+    return debt.enriched(issues, m).select(*debt.ISSUE, "confidence", "is_hotspot")
 
 
 # search

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+# The lines of a commit log with file figures and of a unified diff.
 HEADER = r"^([0-9a-fA-F]{4,64})\|([^|]*)\|(\d+)\|(.*)$"
 STAT = r"^(\d+|-)\s+(\d+|-)\s+(.+)$"
 SECTION = r"^diff --git a/(.+) b/(.+)$"
@@ -62,11 +63,13 @@ def changed_files(rows: DataFrame) -> DataFrame:
     return out.select("path", kind.alias("change_type"), F.when(F.col("gone"), none).otherwise(cut("a")).alias("added"), F.when(F.col("new"), none).otherwise(cut("d")).alias("deleted"))
 
 
-def listing(rows: DataFrame, extensions: list[str] | None = None) -> DataFrame:
-    """(file) distinct paths of a name list or of 'XY path' and 'XY old -> new' status lines, of the given extensions."""
+def listing(rows: DataFrame, extensions: list[str] | None = None, existing: DataFrame | None = None) -> DataFrame:
+    """(file) distinct paths of a name list or of 'XY path' and 'XY old -> new' status lines, of the given extensions and, if given, among ``existing`` (file)."""
     line = F.col("line")
     path = F.when(line.rlike(r"^[ MADRCU?!]{2} "), F.regexp_replace(F.substring(line, 4, 1 << 30), r"^.* -> ", "")).otherwise(F.trim(line))
     found = rows.select(F.regexp_replace(path, '^"|"$', "").alias("file")).where("file <> ''").distinct()
+    if existing is not None:
+        found = found.join(existing.select("file").distinct(), "file", "left_semi")
     return found if not extensions else found.where(F.regexp_extract("file", r"(\.[^./]+)$", 1).isin(extensions))
 
 
@@ -76,3 +79,14 @@ def warning_lines(rows: DataFrame) -> DataFrame:
     lang = F.regexp_extract(line, r"(?i)parser library not installed.*?(\w+)\W*$", 1)
     told = F.when(line.startswith("WARNING:"), line).when(lang != "", F.concat(F.lit("parser missing: "), F.lower(lang)))
     return rows.select(told.alias("warning")).where("warning IS NOT NULL").distinct()
+
+
+def is_partial(warning: str) -> bool:
+    """Whether a warning means that symbols are missing from the graph; others only tell of its quality."""
+    return "Parser library not installed" in warning or warning.startswith("language fingerprint:")
+
+
+def silenced(warnings: list[str], silence: list[str]) -> list[str]:
+    """The warnings that contain none of the texts of ``silence``, whatever the case; blank texts silence nothing."""
+    texts = [s.lower() for s in silence if s.strip()]
+    return [w for w in warnings if not any(s in w.lower() for s in texts)]

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quarrygraph import api
 from quarrygraph.functions import exprs as X
 from quarrygraph.functions.names import matching_ratio, ratio_bound
+from quarrygraph.operators.ranks import ranked
 from quarrygraph.operators import debt, diffs, graph, history, impact, modules, search, store, traverse
 from quarrygraph.sources import foreign, ndjson, reports, textlogs
 from quarrygraph.streaming.ingest import ingest_stream, windowed_counts
@@ -152,7 +153,7 @@ def test_branch_diff(spark, rows):
     br, hr = rels(spark, [("a", "b", "CALLS"), ("a", "zz", "CALLS"), ("b", "c", "CALLS")]), rels(spark, [("a", "d", "CALLS"), ("d", "c", "CALLS"), ("a", "d", "CALLS")])
     b = diffs.BranchDiff(base, br, head, hr)
     assert rows(b.broken_chains()) == [("a", "b", "CALLS")] and rows(b.new_chains()) == [("a", "d", "CALLS")]
-    assert tuple(b.summary().first()) == (1, 1, 2, 2, 2, 1, 1, 2)
+    assert tuple(b.summary().first()) == (1, 1, 2, 2, 2, 1, 1, 2, 1, 0)
     assert rows(b.top_modules()) == [("src/m", 1, 2), ("src/n", 1, 0)]
     assert rows(b.content(None)) == [("a", "unknown"), ("c", "unknown")] and b.content_status(b.content(None)).first().status == "unavailable"
     assert b.content_status(b.content(F.col("source_id"))).first().status == "available"
@@ -412,6 +413,31 @@ def test_refresh_rebuilds_for_another_configuration(spark, tmp_path):
     assert [run(fingerprint="1", config="a"), run(fingerprint="1", config="a"), run(fingerprint="2", config="a"), run(fingerprint="2", config="b")] == ["rebuild", "noop", "incremental", "rebuild"]
 
 
+def test_issue_details(spark, rows):
+    report = spark.createDataFrame([([("src/a.py", 900, "critical")], [("src/a.py", "f", 80, None)], [("t.py", "sleep", None)], [("src/a.py", 7.5)])], "giant_files array<struct<path: string, lines: int, severity: string>>, giant_functions array<struct<path: string, function_name: string, lines: int, complexity: int>>, test_smells array<struct<path: string, type: string, line_number: int>>, maintainability_scores array<struct<path: string, score: double>>")
+    got = {r.category: r for r in debt.static_issues(report).collect()}
+    assert got["god_class"].metrics == {"lines": 900, "maintainability_score": 7.5, "total_score": 0} and got["god_function"].metrics["complexity"] == 0 and got["test_smell"].suggestion == "Fix sleep"
+
+
+def test_ranks(spark):
+    r = random.Random(1)
+    values = [r.randrange(500) for _ in range(3000)]
+    got = ranked(spark.createDataFrame([(v, i) for i, v in enumerate(values)], "v int, i int").repartition(7), [F.desc("v"), F.asc("i")]).collect()
+    assert {x.i: x["rank"] for x in got} == {i: n for n, (_, i) in enumerate(sorted((-v, i) for i, v in enumerate(values)), 1)}
+    assert ranked(spark.range(0), ["id"]).count() == 0
+
+
+def test_warnings_that_leave_a_graph_partial():
+    told = ["Parser library not installed for swift: x", "language fingerprint: php", "low resolution", "WARNING: Tests"]
+    assert [textlogs.is_partial(w) for w in told] == [True, True, False, False]
+    assert textlogs.silenced(told, ["PARSER", " "]) == told[1:] and textlogs.silenced(told, []) == told
+
+
+def test_resolution_caveat(spark):
+    c = lambda x: spark.range(1).select(graph.resolution_caveat(F.lit(x).cast("double"))).first()[0]
+    assert c(None) is None and c(0.5) is None and "12.5%" in c(0.125)
+
+
 def test_callers_are_where_the_symbol_is_called(spark, rows):
     r = spark.createDataFrame(
         [("c", "other", "CALLS", "m.py:10"), ("c", "sym", "CALLS", "m.py:90"), ("c", "sym", "CALLS", "m.py:95"), ("c", "sym", "CALLS", "n.py:7"), ("sym2", "sym", "CALLS", None), ("d", "c", "CALLS", "d.py:1-3"), ("sym", "d", "CALLS", "s.py:x"), ("", "sym", "CALLS", "e.py:1")],
@@ -471,12 +497,12 @@ def test_debt(spark, rows, tmp_path):
     assert h.total == int((84 * 0.4 + 50 * 0.3) / 0.7) and h.maintainability is None
     assert debt.health(issues.limit(0), spark.createDataFrame([(100,)], "score int")).first().grade == "A"
     assert [r.id for r in debt.numbered(issues).orderBy("id").collect()] == ["debt-001", "debt-002", "debt-003"]
-    hot = spark.createDataFrame([("f", 90)] * 4, "file string, score int")
-    silo = spark.createDataFrame([("f", "critical"), ("g", "high")], "file string, risk string")
+    hot = spark.createDataFrame([("f", 90, 3, 100)] * 4, "file string, score int, commits int, lines int")
+    silo = spark.createDataFrame([("f", "critical", "ann", 1, 1.0, 3), ("g", "high", "bob", 2, 0.75, 4)], "file string, risk string, owner string, contributors int, ownership double, commits int")
     assert debt.git_score(hot, silo).first()[0] == 52 and debt.git_issues(hot, silo).count() == 5
-    base = spark.createDataFrame([("topology", "P1", "orphan_entity", "e", "f", "x.py:3-9"), ("topology", "P1", "god_function", "g", "f", "x.py:3")], ", ".join(f"{c} string" for c in debt.ISSUE))
+    base = spark.createDataFrame([("topology", "P1", "orphan_entity", "e", "f", "x.py:3-9"), ("topology", "P1", "god_function", "g", "f", "x.py:3")], ", ".join(f"{c} string" for c in debt.ISSUE)).withColumns({"confidence": F.lit(None).cast("string"), "suggestion": F.lit("s"), "metrics": F.create_map().cast("map<string,double>")})
     m = spark.createDataFrame([("x.py", 400, 11)], "file string, modified_days int, commits int")
-    assert [(r[1], r[6], r[7]) for r in rows(debt.enriched(base, m))] == [("P0", None, True), ("P1", "high", False)]
+    assert [(r[1], r[6], r[9]) for r in rows(debt.enriched(base, m))] == [("P0", None, True), ("P1", "high", False)]
 
 
 def test_names(spark):
