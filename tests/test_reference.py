@@ -545,7 +545,7 @@ def test_facade(spark, tmp_path):
     for name in ("one", "two"):
         q.workspace(name).write(e.where("entity_name <> ''").drop("src", "degree"), r.drop("n", "node"))
     assert q.find("one", "b").count() >= 2 and q.graph("one", "a").count() > 0
-    assert q.topology("one")["score"].first().score <= 100 and set(q.topology("one", mode="store")) == {"orphans", "hubs", "gods", "stats", "most_coupled"}
+    assert q.topology("one")["score"].first().score <= 100 and set(q.topology("one", mode="store")) == {"orphans", "hubs", "gods", "stats", "most_coupled", "resolution"}
     assert q.debt("one")["health"].first().grade in "ABCDF" and q.compare("one", "two")["summary"].first().relations_diff == 0
     assert q.embed_backfill("one", search.hash_embedder(8), "hash", 8) == 0
     audit = q.debt_audit("one")
@@ -553,7 +553,18 @@ def test_facade(spark, tmp_path):
     assert q.sync_advice("one", "two", ["c"])["callers c"]["data"].count() > 0 and q.similar("a").count() >= 2
     assert api.envelope(lambda: q.info("one"))["success"] and api.envelope(lambda: 1 / 0)["error"]["code"] == "ZeroDivisionError"
     assert api.markdown(q.info("one")).startswith("| tab | kind | n |") and api.chart([1, 2, 3], 3) == "  *\n *\n*"
-    assert q.provision("one", "main", "abc") == "refuse"
+    path = tmp_path / "e.ndjson"
+    path.write_text("\n".join(json.dumps(x) for x in [_node("n.f", "function", "n.py:1-9"), _node("n.g", "function", "n.py:11-19"), _edge("n.g", "n.f", line="n.py:12")]))
+    with pytest.raises(ValueError):
+        q.provision("one", "main", "abc", str(path))
+    assert q.provision("snap", "main", "abc", str(path)) == "created" and q.provision("snap", "main", "abc", str(path)) == "reused"
+    assert q.update("three", str(path), fingerprint="1")["mode"] == "rebuild" and q.update("three", str(path), fingerprint="1") == {"mode": "noop"}
+    (tmp_path / "d.diff").write_text("diff --git a/n.py b/n.py\n@@ -3,1 +3,1 @@\n-x\n+y\n")
+    hit = q.impact_of_diff("three", str(tmp_path / "d.diff"))
+    assert [r.name for r in hit["symbols"].collect()] == ["n.f"] and [(r.caller, r.line) for r in hit["callers"].collect()] == [("n.g", 12)]
+    (tmp_path / "log.txt").write_text("abcd1|ann|100|fix: x\n3\t1\tn.py\n")
+    assert q.git_metrics_of_log(str(tmp_path / "log.txt"))["files"].first().author_list == ["ann"]
+    assert q.branch_summary("three", "snap")["summary"].first().entities_shared == 2
 
 
 def test_stream(spark, rows, tmp_path):
