@@ -1,46 +1,35 @@
 """Per-document text statistics and the shape of a document (problem 9).
 
-All statistics are native SQL expressions over the whole text. The shape comes from an ordered list of rules over
-them, induced from labelled documents (``rules``) and applied as one CASE expression.
+The statistics that are asked for are native SQL expressions over the whole text. The shape comes from an ordered list of
+rules over general figures of the text (``charstats``), induced from labelled documents (``rules``) and applied as one
+native CASE expression.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrygraph.llm import charstats
 from quarrygraph.llm.rules import RuleList, induce
+from quarrygraph.session import Scratch
 
 #: At most this many labelled documents are used to induce the rules, chosen by a hash of doc_id.
 MOST_LABELLED = 20_000
 SHAPES = ["junk", "table", "list"]
 OTHER = "prose"
+LABELS = [*SHAPES, OTHER]
 #: A character that is not white space, in Unicode's sense.
 SEEN = r"(?U)\S"
 
-#: What is looked for in a line, each as a share of all characters in lines that have it.
-LINE_PATTERNS = {
-    "bullet": r"^\s*([-*•‣◦·+–]|\d{1,4}[.)]|\(?[a-zA-Z0-9]{1,3}\)|\[[ xX]\])\s+\S",
-    "keyed": r"^\s*[\w.\-]{1,40}\s?[:=]\s\S",
-    "tabs": r"\t.*\t|^[^\t]*\t[^\t]*$",
-    "pipes": r"\|.*\|",
-    "commas": r"^[^,]*,[^\s,]*,|,,|,-,",
-    "semis": r";[^\s;]*;|\";\"",
-    "columns": r"\S {2,}\S.* {2,}\S|^\s{6,}\S+ {2,}\S|\S {3,}\S",
-    "ruled": r"^[\s+|:=-]{3,}$",
-    "ended": r"[.!?。!?…][\"'”’»)\]]*\s*$",
-    "stopped": r"[.!?;:,。!?;:,…][\"'”’»)\]]*\s*$",
-    "stamped": r"^\W*\d{4}-\d\d-\d\d[T ]\d\d|^\W*\d\d:\d\d:\d\d|\[(INFO|WARN|WARNING|ERROR|DEBUG|TRACE)\]",
-    "traced": r"^\s+at \S|^\s*File \"|^\s*\w*(Error|Exception)\b|Traceback",
-    "hexed": r"^\s*([0-9a-fA-F]{4,}:?\s+){2,}",
-    "coded": r"[{};]\s*$|=>|\w\(.*\)\s*[{;]|^\s*[{\[].*[}\]],?\s*$|</?\w+[^>]*>",
-    "short": r"^.{1,60}$",
-    "long": r"^.{120,}$",
-    "single": r"^\s*\S+\s*$",
-    "titled": r"^(\W*\p{Lu}\p{L}*\W*|\W*(in|to|of|the|link|page|top|notice)\W*){2,}$",
-}
+#: How a line that ends in punctuation ends.
+ENDED = r"[.!?。!?…][\"'”’»)\]]*\s*$"
 
 
 def common_list(common_words: DataFrame) -> tuple[list[str], list[str]]:
@@ -68,74 +57,29 @@ def _any_of(words: list[str]) -> str:
     return f"(?=[{first}])(?:{'|'.join([*long, *([f'[{single}]'] if single else [])])})"
 
 
-def _count(text: Column, pattern: str) -> Column:
-    return F.regexp_count(text, F.lit(pattern)).cast("double")
-
-
 def text_statistics(documents: DataFrame, common_words: DataFrame) -> DataFrame:
-    """One row of statistics per row of ``documents``, beginning with doc_id, words, mean_word_length, symbol_share,
-    ended_share and common_share; a null, empty or blank text has zeros throughout.
+    """(doc_id, words, mean_word_length, symbol_share, ended_share, common_share, lines), one row per row of ``documents``;
+    a null, empty or blank text has zeros throughout.
 
     A word is a run of letters and digits, or one Han character. ``symbol_share`` is of the characters that are not
     white space, ``ended_share`` of the non-blank lines, ``common_share`` of the words (Han words by the characters
-    they cover), whatever ``lang`` says. The other columns are what tells prose from lists, tables and junk.
+    they cover), whatever ``lang`` says. All native expressions over the whole text.
     """
     spaced, han = common_list(common_words)
     base = documents.select("doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), r"\r\n?", "\n").alias("_t"))
-    line = F.filter(F.split("_t", "\n"), lambda x: x.rlike(SEEN))
-    tokens = F.filter(F.split(F.lower("_t"), r"[^\p{L}\p{M}\p{N}'’]+"), lambda x: x != "")
-    base = base.select("*", line.alias("_l"), tokens.alias("_w")).select(
-        "*", _chars(F.col("_t"), r"[^\u4e00-\u9fff]+").alias("_han"), F.aggregate("_l", F.lit(0).cast("bigint"), lambda a, x: a + F.length(x)).cast("double").alias("_chars"), F.size("_l").cast("double").alias("_n"), F.size("_w").cast("double").alias("_nw")
-    )
     t = F.col("_t")
-    seen = F.length(F.regexp_replace(t, r"\s+", "")).cast("double")
-    letters = _chars(t, r"[^\p{L}\p{M}]+")
-    digits = _chars(t, r"[^\p{N}]+")
-    base = base.select("*", seen.alias("_seen"), letters.alias("_let"), digits.alias("_dig"))
+    line = F.filter(F.split(t, "\n"), lambda x: x.rlike(SEEN))
+    tokens = F.filter(F.split(F.lower(t), r"[^\p{L}\p{M}\p{N}'’]+"), lambda x: x != "")
+    base = base.select("*", line.alias("_l"), tokens.alias("_w"), _chars(t, r"[^\u4e00-\u9fff]+").alias("_han"), F.length(F.regexp_replace(t, r"\s+", "")).cast("double").alias("_seen"), _chars(t, r"[^\p{L}\p{M}]+").alias("_let"), _chars(t, r"[^\p{N}]+").alias("_dig"))
     hanless = F.filter("_w", lambda x: ~x.rlike("^[\u4e00-\u9fff]"))
-    base = base.select("*", (F.size(hanless).cast("double") + F.col("_han")).alias("words"))
+    base = base.select("*", (F.size(hanless).cast("double") + F.col("_han")).alias("words"), F.size("_l").cast("double").alias("lines"))
     common = F.size(F.filter("_w", lambda x: x.isin(spaced))).cast("double") if spaced else F.lit(0.0)
     covered = (F.length(t) - F.length(F.regexp_replace(t, _any_of(han), ""))).cast("double") if han else F.lit(0.0)
-    share = lambda p: _per(F.aggregate("_l", F.lit(0).cast("bigint"), lambda a, x: a + F.when(x.rlike(p), F.length(x)).otherwise(0)).cast("double"), F.col("_chars"))
-    ended = F.size(F.filter("_l", lambda x: x.rlike(LINE_PATTERNS["ended"]))).cast("double")
-    kinds = F.size(F.array_distinct("_w")).cast("double")
-    sentences = F.filter(F.transform(F.split("_t", r"[.!?。!?\n;|]+"), lambda x: F.trim(x)), lambda x: F.length(x) > 3)
-    pieces = F.filter(F.split("_t", r"\s+"), lambda x: F.length(x) > 0)
-    base = base.select("*", sentences.alias("_s"), pieces.alias("_p"))
-    wide = F.aggregate("_p", F.lit(0).cast("bigint"), lambda a, x: a + F.when((F.length(x) > 40) & ~x.rlike("[\u4e00-\u9fff]"), F.length(x)).otherwise(0)).cast("double")
-    dotted = F.size(F.filter("_p", lambda x: x.rlike(r"^\W*\w+([.:]+\w+)+\W*$") & x.rlike(r"\p{L}"))).cast("double")
-    plain = F.size(F.filter("_p", lambda x: x.rlike(r"^[\"'(„“]?\p{L}[\p{Ll}\p{Lo}]*[.,;:!?\"')”“]*$"))).cast("double")
-    capital = F.size(F.filter("_p", lambda x: x.rlike(r"^\p{Lu}\p{Ll}+$"))).cast("double")
-    vowelless = F.size(F.filter("_w", lambda x: x.rlike("^[b-df-hj-np-tv-z]{4,}$") | x.rlike("[a-z][0-9]+[a-z]|[0-9][a-z]+[0-9]"))).cast("double")
-    n_p, n_s = F.size("_p").cast("double"), F.size("_s").cast("double")
-    nw, words, seen_c = F.col("_nw"), F.col("words"), F.col("_seen")
-    out = {
-        "words": words,
-        "mean_word_length": _per(F.col("_let") + F.col("_dig"), words),
-        "symbol_share": _per(seen_c - F.col("_let") - F.col("_dig"), seen_c),
-        "ended_share": _per(ended, F.col("_n")),
-        "common_share": _per(common + covered, words),
-        "digit_share": _per(F.col("_dig"), seen_c),
-        "han_share": _per(F.col("_han"), seen_c),
-        "upper_share": _per(_chars(t, r"[^\p{Lu}]+"), F.col("_let")),
-        "brace_share": _per(_count(t, r"[{}()\[\]<>=;\\$#%^&~]"), seen_c),
-        "garbled_share": _per(_count(t, r"[\ufffd\u0080-\u009f]|[ÃÂâäåæçèé][\u0080-\u00bf€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]"), seen_c),
-        "lines": F.col("_n"),
-        "mean_line_length": _per(F.col("_chars"), F.col("_n")),
-        "line_kinds": _per(F.size(F.array_distinct("_l")).cast("double"), F.col("_n")),
-        "word_kinds": _per(kinds, nw),
-        "sentence_kinds": _per(F.size(F.array_distinct("_s")).cast("double"), n_s),
-        "sentences_per_100": _per(_count(t, r"[.!?][\"”')\]]*(\s|$)|[。!?]") * 100, F.length(t).cast("double")),
-        "commas_per_100": _per(_count(t, r",\s|[,、]") * 100, F.length(t).cast("double")),
-        "wide_share": _per(wide, seen_c),
-        "dotted_share": _per(dotted, n_p),
-        "plain_share": _per(plain, n_p),
-        "capital_share": _per(capital, n_p),
-        "odd_word_share": _per(vowelless, nw),
-        "space_share": F.when(seen_c > 0, _per(F.length(t) - seen_c, F.length(t).cast("double"))).otherwise(0.0),
-        **{f"{k}_lines": share(p) for k, p in LINE_PATTERNS.items()},
-    }
-    return base.select("doc_id", *[c.alias(k) for k, c in out.items()])
+    ended = F.size(F.filter("_l", lambda x: x.rlike(ENDED))).cast("double")
+    known = F.col("_let") + F.col("_dig")
+    return base.select(
+        "doc_id", "words", _per(known, F.col("words")).alias("mean_word_length"), _per(F.col("_seen") - known, F.col("_seen")).alias("symbol_share"), _per(ended, F.col("lines")).alias("ended_share"), _per(common + covered, F.col("words")).alias("common_share"), "lines"
+    )
 
 
 def majority_labels(doc_labels: DataFrame) -> DataFrame:
@@ -146,18 +90,95 @@ def majority_labels(doc_labels: DataFrame) -> DataFrame:
     return best.where(F.size(F.filter("all", lambda x: x == F.col("top"))) == 1).select("doc_id", F.col("b.shape").alias("shape"))
 
 
-def learn_rules(documents: DataFrame, doc_labels: DataFrame, common_words: DataFrame, most: int = MOST_LABELLED) -> RuleList:
-    """Rules from at most ``most`` labelled documents with non-blank text. Without usable labels every document is prose."""
+@dataclass
+class Learned:
+    """What tells the shapes apart: the rules, the line model that some of their figures come from, and the common words."""
+
+    rules: RuleList
+    model: tuple[np.ndarray, np.ndarray]
+    common: charstats.Common
+
+    def wanted(self) -> list[str]:
+        return sorted({self.rules.names[j] for r in self.rules.rules for j, _, _ in r.conditions})
+
+
+def _figures(common: charstats.Common, names: list[str], pick):  # noqa: ANN001, ANN202
+    """For mapInArrow over (doc_id, text, rest ...): the figures ``names`` of each row, by the model that ``pick`` gives for its part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b["text"].to_pylist()
+            for lo, hi in charstats.chunks(texts):
+                rows = b.slice(lo, hi - lo)
+                for model, at in pick(rows):
+                    part = [texts[lo + i] for i in at]
+                    found = charstats.features(part, common, model, LABELS, frozenset(names))
+                    keep = rows.take(pa.array(at)).drop_columns(["text"])
+                    yield pa.RecordBatch.from_arrays([*keep.columns, *[pa.array(found[k].astype(float)) for k in names]], [*keep.schema.names, *names])
+
+    return run
+
+
+def learn_shapes(documents: DataFrame, doc_labels: DataFrame, common_words: DataFrame, most: int = MOST_LABELLED) -> Learned:
+    """Learns from at most ``most`` labelled documents with non-blank text. Without usable labels every document is prose.
+
+    The line model is counted in two halves of these documents, and each half gets its figures for the rules from the
+    other half's model, so that no document is scored by what it has added itself.
+    """
+    spark = documents.sparkSession
+    common = charstats.Common(*common_list(common_words))
     chosen = majority_labels(doc_labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    texts = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where(F.col("text").rlike(SEEN))
-    stats = text_statistics(texts, common_words).join(F.broadcast(chosen), "doc_id").toPandas().sort_values("doc_id", kind="stable")
-    names = [c for c in stats.columns if c not in ("doc_id", "shape")]
-    return induce(stats[names].to_numpy(float), stats["shape"].to_numpy(str), names, SHAPES, OTHER)
+    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where(F.col("text").rlike(SEEN))
+    half = F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.lit(2)).cast("int").alias("half")
+    rows = Scratch(spark).cut(rows.select("doc_id", "text", "shape", half))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models = [charstats.LineModel(LABELS) for _ in range(2)]
+        for b in batches:
+            texts, halves = b["text"].to_pylist(), b["half"].to_numpy()
+            label = np.array([LABELS.index(x) for x in b["shape"].to_pylist()], int)
+            for lo, hi in charstats.chunks(texts):
+                for h in range(2):
+                    at = lo + np.flatnonzero(halves[lo:hi] == h)
+                    if len(at):
+                        models[h].add(charstats.batch([texts[i] for i in at]), label[at])
+        for h, m in enumerate(models):
+            flat = np.concatenate([m.runs.ravel(), m.letters.ravel()]) - 1
+            at = np.flatnonzero(flat)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), h, np.int32)), pa.array(at.astype(np.int32)), pa.array(flat[at].astype(np.int64))], ["half", "at", "n"])
+
+    # one row per half and bucket: bounded, whatever the texts
+    counted = rows.mapInArrow(count, "half int, at int, n bigint").groupBy("half", "at").agg(F.sum("n").alias("n")).toPandas()
+    halves = []
+    for h in range(2):
+        m, part = charstats.LineModel(LABELS), counted[counted["half"] == h]
+        flat = np.zeros(m.runs.size + m.letters.size)
+        flat[part["at"].to_numpy(int)] = part["n"].to_numpy(float)
+        m.runs += flat[: m.runs.size].reshape(m.runs.shape)
+        m.letters += flat[m.runs.size :].reshape(m.letters.shape)
+        halves.append(m)
+    both = charstats.LineModel(LABELS)
+    both.runs, both.letters = halves[0].runs + halves[1].runs - 1, halves[0].letters + halves[1].letters - 1
+    held = spark.sparkContext.broadcast([m.ready() for m in halves])
+    names = list(charstats.features([], common, both.ready(), LABELS))
+
+    def other(b: pa.RecordBatch):  # noqa: ANN202
+        h = b["half"].to_numpy()
+        return [(held.value[1 - k], np.flatnonzero(h == k)) for k in range(2) if (h == k).any()]
+
+    schema = "doc_id bigint, shape string, half int, " + ", ".join(f"{n} double" for n in names)
+    stats = rows.mapInArrow(_figures(common, names, other), schema).toPandas().sort_values("doc_id", kind="stable")
+    return Learned(induce(stats[names].to_numpy(float), stats["shape"].to_numpy(str), names, SHAPES, OTHER), both.ready(), common)
 
 
 def shapes(documents: DataFrame, doc_labels: DataFrame, common_words: DataFrame, most: int = MOST_LABELLED) -> DataFrame:
     """(doc_id, shape) of every row with non-blank text: prose, list, table or junk."""
-    rules = learn_rules(documents, doc_labels, common_words, most)
-    stats = text_statistics(documents.where(F.col("text").rlike(SEEN)), common_words)
-    # exploding keeps a filter on the shape from being pushed below it, which would work out every statistic twice
-    return stats.select("doc_id", F.explode(F.array(F.expr(rules.case()))).alias("shape"))
+    learned = learn_shapes(documents, doc_labels, common_words, most)
+    rows = documents.where(F.col("text").rlike(SEEN))
+    names = learned.wanted()
+    if not names:
+        return rows.select("doc_id", F.expr(learned.rules.case()).alias("shape"))
+    model = documents.sparkSession.sparkContext.broadcast(learned.model)
+    whole = lambda b: [(model.value, np.arange(b.num_rows))]
+    stats = rows.select("doc_id", "text").mapInArrow(_figures(learned.common, names, whole), ", ".join([f"doc_id {dict(documents.dtypes)['doc_id']}", *[f"{n} double" for n in names]]))
+    return stats.select("doc_id", F.expr(learned.rules.case()).alias("shape"))
