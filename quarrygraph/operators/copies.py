@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrygraph.functions.canonical import differing_properties
+from quarrygraph.functions.canonical import compared
 
 TOLERANCE = 1e-9
 
@@ -37,8 +37,8 @@ def copy_differences(main: DataFrame, mirror: DataFrame, key: str, fields: Seque
     names: Column = F.filter(F.array(*[F.when(_differs(c, kinds[c]), F.lit(c)) for c in fields]), lambda x: x.isNotNull())
     if json_field:
         a, b = F.col(f"main.{json_field}"), F.col(f"mirror.{json_field}")
-        told = F.col("main").isNotNull() & F.col("mirror").isNotNull() & ~a.eqNullSafe(b)
-        both = both.withColumn("_json", differing_properties(F.when(told, a), F.when(told, b)))
+        met = F.col("main").isNotNull() & F.col("mirror").isNotNull()
+        both = compared(both, F.when(met, a), F.when(met, b), "_json", json_field)
         names = F.concat(names, F.col("_json"))
     side = F.when(F.col("mirror").isNull(), "only_main").when(F.col("main").isNull(), "only_mirror").otherwise("differs")
     out = both.select(F.col("_key").cast("string").alias("rec_key"), side.alias("diff"), F.when(side == "differs", names).otherwise(F.array(F.lit(""))).alias("_fields"))

@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from quarrygraph.functions.canonical import properties
+from quarrygraph.functions.canonical import compared, properties
 from quarrygraph.operators import changes, copies, hierarchy, joins, nodes, references
 from quarrygraph.operators.counted import counted
 
@@ -185,6 +185,19 @@ def test_properties():
         assert properties(a) != properties(b)
 
 
+def test_native_comparison_equals_pythons(spark):
+    r = random.Random(7)
+    value = lambda: r.choice(["1", "1.0", "1e0", "-0", "0", "0.0", '"1"', '"x"', '"\\u0078"', '""', "null", "true", "false", "[]", "[1,2]", "[1.0,2]", '["",null]', "[null,null]", '["a"]', '[ "a" ]', "{}", '{"b":1}', '{"b":1.0,"c":null}', "1e400", '"Infinity"', "12345678901234567", "12345678901234568", "0.30000000000000004", "0.3", '"\\ud800"', '"}{"', '"\\""', "NaN", "01"])
+    text = lambda: r.choice(["{%s}", " {%s} ", "{%s} x", "{%s}{}", "{%s},{}", "[%s]", "%s", "{%s}\x00"][: r.choice([2, 2, 2, 8])]) % ", ".join(f'"{k}":{value()}' for k in r.sample(["a", "b", "", "é"], r.randrange(0, 3)))
+    pairs = [(text(), text()) for _ in range(1500)] + [(text(), None) for _ in range(60)] + [(None, text()) for _ in range(60)] + [("", " "), (None, None), ('{"a":1,"a":2}', '{"a":2}'), *JSON_SAME, *JSON_OTHER]
+    df = spark.createDataFrame([(i, a, b, "clash") for i, (a, b) in enumerate(pairs)], "i int, a string, b string, _keys string").drop("_keys")
+    got = {x.i: x.d for x in compared(df, F.col("a"), F.col("b"), "d", "props").collect()}
+    for i, (a, b) in enumerate(pairs):
+        p, q = properties(a), properties(b)
+        want = [] if a == b else ["props"] if p is None or q is None else [f"props.{k}" for k in sorted(p.keys() | q.keys()) if p.get(k) != q.get(k)]
+        assert got[i] == want, (a, b)
+
+
 def snaps(spark, data):
     return spark.createDataFrame([(n, k, t, None, None, p, T0 + timedelta(minutes=at)) for n, k, t, p, at in data], "snap_no int, entity_name string, entity_type string, description string, source_id string, properties_json string, delivered_at timestamp_ntz").withColumn("rank", F.lit(7)).withColumn("last", F.lit(7))
 
