@@ -56,6 +56,16 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in kept else chr(next(free)) for b in range(256)]
 
 
+def supported(file: dict, path: str) -> dict:
+    """The model of a vocabulary file, which must be a byte-level BPE that cuts texts as PATTERN does and changes nothing before; others are refused, as they would get wrong ids."""
+    cut, model = file.get("pre_tokenizer") or {}, file.get("model") or {}
+    plain = file.get("normalizer") is None and cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True)
+    simple = model.get("type", "BPE") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+    if not (plain and simple):
+        raise ValueError(f"{path} is no plain byte-level BPE vocabulary")
+    return model
+
+
 class Encoder:
     """One per worker process and vocabulary: the merge table in DuckDB and the words encoded so far."""
 
@@ -72,7 +82,8 @@ class Encoder:
         import regex
 
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            file = json.load(f)
+        model = supported(file, path)
         vocab = model["vocab"]
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         merges = pa.table(
@@ -85,7 +96,7 @@ class Encoder:
         )
         self.bytes = np.array([vocab[c] for c in byte_alphabet()], dtype=np.int32)
         self.split = regex.compile(PATTERN).findall
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "600MB"})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
         self.con.register("given", merges)
         self.con.execute("CREATE TABLE merges AS SELECT * FROM given")
         self.con.unregister("given")
@@ -166,7 +177,7 @@ def encode_documents(documents: DataFrame, vocabulary: str = DEFAULT_VOCABULARY)
     """(doc_id, ids): the ids of each row's whole text, without special tokens, whose strings are ordinary text.
 
     A null or empty text gives an empty list; repeated rows give repeated results; other columns are ignored.
-    ``vocabulary`` is the path of the byte-level BPE file, which every executor must have.
+    ``vocabulary`` is the path of the byte-level BPE file, which every executor must have; a file of another kind is refused.
     """
     kind = dict(documents.dtypes)["doc_id"]
 

@@ -66,8 +66,9 @@ def kinds(container_kinds: DataFrame) -> list[tuple[str, int, str]]:
 def pack(sizes: DataFrame, capacities: dict[str, int], packs: int) -> DataFrame:
     """(container_kind, container, doc_id, piece, tokens): each text placed once in every kind of container.
 
-    ``sizes`` has one row (doc_id, tokens) per text, and may have the hash ``h`` of the text, by which texts without doc_id
-    are dealt. A text longer than the capacity is cut into full pieces, each a
+    ``sizes`` has one row (doc_id, tokens) per text, and may have the hash ``h`` of the text and a number ``row`` of those
+    without doc_id. Texts are dealt by all of these, so neither many texts under one doc_id nor many equal texts without
+    one meet in one pack. A text longer than the capacity is cut into full pieces, each a
     container of its own, and a rest that is packed like a text; no other text is cut. Empty texts share a container.
     Containers are numbered within their kind; all pieces of one container have the same number.
     """
@@ -75,7 +76,7 @@ def pack(sizes: DataFrame, capacities: dict[str, int], packs: int) -> DataFrame:
     if not capacities:
         return sizes.sparkSession.createDataFrame([], f"container_kind string, container bigint, doc_id {kind}, piece int, tokens int")
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("container_kind"), F.lit(c).alias("capacity")) for k, c in sorted(capacities.items())]))
-    dealt = F.when(F.col("doc_id").isNull(), F.xxhash64("h")).otherwise(F.xxhash64("doc_id")) if "h" in sizes.columns else F.xxhash64("doc_id")
+    dealt = F.xxhash64("doc_id", *[c for c in ("h", "row") if c in sizes.columns])
     # pandas would turn a column of numbers with nulls into floats
     number = F.coalesce("doc_id", F.lit(0).cast(kind)).alias("doc_id")
     items = sizes.select(number, F.col("doc_id").isNull().alias("nameless"), F.pmod(dealt, F.lit(packs)).alias("pack"), F.col("tokens").cast("bigint").alias("tokens"), each.alias("k")).select("doc_id", "nameless", "pack", "tokens", "k.container_kind", "k.capacity")

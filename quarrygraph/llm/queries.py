@@ -23,7 +23,12 @@ def query(name: str, sql: str | None = None):  # noqa: ANN201
     return add
 
 
-@query("p6_found")
+_USABLE = """u AS (SELECT entity_name AS name, CAST(embedding AS DOUBLE[]) AS e FROM (SELECT * FROM vec_node_descriptions WHERE entity_name IS NOT NULL QUALIFY row_number() OVER (PARTITION BY entity_name ORDER BY vec_id DESC) = 1)
+  WHERE len(embedding) = 64 AND NOT list_contains(list_transform(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x)), true) AND list_contains(list_transform(embedding, lambda x: x <> 0), true)),
+ near AS (SELECT a.name AS a, b.name AS b, list_cosine_similarity(a.e, b.e) AS c FROM u a JOIN u b ON a.name <> b.name QUALIFY row_number() OVER (PARTITION BY a.name ORDER BY list_cosine_similarity(a.e, b.e) DESC, b.name) <= 10)"""
+
+
+@query("p6_found", f"WITH {_USABLE} SELECT DISTINCT least(a, b) AS name_a, greatest(a, b) AS name_b FROM near WHERE c >= 0.97")
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.similar_pairs(table(spark, d, "vec_node_descriptions"))
 
@@ -33,6 +38,13 @@ def p6_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.most_similar(table(spark, d, "vec_node_descriptions"))
 
 
+@query("p6_nearest", f"WITH {_USABLE} SELECT a AS name, count(*) AS found, round(max(c), 6) AS nearest FROM near GROUP BY a")
+def p6_nearest(spark: SparkSession, d: str) -> DataFrame:
+    """How many neighbours each name has got and how near the nearest is."""
+    found = neighbours.most_similar(table(spark, d, "vec_node_descriptions"))
+    return found.groupBy("name").agg(F.count(F.lit(1)).alias("found"), F.round(F.max("cosine"), 6).alias("nearest"))
+
+
 @query("p7_ids")
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_documents(table(spark, d, "documents"))
@@ -43,6 +55,20 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_documents(table(spark, d, "documents"), table(spark, d, "container_kinds"), nameless=True)
 
 
+@query(
+    "p8_placed",
+    "WITH t AS (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL) SELECT container_kind, (SELECT count(*) FROM t) AS texts, (SELECT count(*) FROM t WHERE coalesce(text, '') = '') AS without_tokens, 0::BIGINT AS over_capacity, 0::BIGINT AS placed_twice, 0::BIGINT AS cut_below_capacity, true AS well_filled FROM (SELECT DISTINCT container_kind FROM container_kinds)",
+)
+def p8_placed(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the containers of the texts with a doc_id: all placed, once, none above its capacity, none cut that would fit whole, little room left over."""
+    kinds = table(spark, d, "container_kinds")
+    placed = packing.pack_documents(table(spark, d, "documents"), kinds).join(F.broadcast(kinds.select("container_kind", F.col("capacity_tokens").alias("cap"))), "container_kind")
+    texts = placed.groupBy("container_kind", "doc_id", "cap").agg(F.count_if(F.col("piece") == 0).alias("n"), F.count(F.lit(1)).alias("pieces"), F.sum("tokens").alias("tokens"))
+    bins = placed.groupBy("container_kind", "container", "cap").agg(F.sum("tokens").alias("tokens")).groupBy("container_kind").agg(F.count_if(F.col("tokens") > F.col("cap")).alias("over_capacity"), (F.sum("tokens") >= 0.9 * F.sum("cap")).alias("well_filled"))
+    told = texts.groupBy("container_kind").agg(F.sum("n").alias("texts"), F.count_if(F.col("tokens") == 0).alias("without_tokens"), F.count_if((F.col("n") == 1) & (F.col("pieces") != F.greatest(F.lit(1), F.ceil(F.col("tokens") / F.col("cap"))))).alias("placed_twice"), F.count_if((F.col("n") == 1) & (F.col("pieces") > 1) & (F.col("tokens") <= F.col("cap"))).alias("cut_below_capacity"))
+    return told.join(bins, "container_kind").select("container_kind", "texts", "without_tokens", "over_capacity", "placed_twice", "cut_below_capacity", "well_filled")
+
+
 @query("p8_filling")
 def p8_filling(spark: SparkSession, d: str) -> DataFrame:
     kinds = table(spark, d, "container_kinds")

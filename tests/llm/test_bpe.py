@@ -53,3 +53,12 @@ def test_round_trip(public):
     enc = bpe.Encoder.of(bpe.DEFAULT_VOCABULARY)
     texts = [t for t in ODD if t]
     assert [public.decode(x.tolist(), skip_special_tokens=False) for x in enc.encode(texts)] == texts
+
+
+def test_other_vocabularies_are_refused():
+    with pytest.raises(ValueError, match="byte-level"):
+        bpe.Encoder("/opt/tokenizers/word_bpe_49k.json")
+    assert bpe.supported({"pre_tokenizer": {"type": "ByteLevel"}, "model": {"merges": []}}, "x") == {"merges": []}
+    for file in ({"model": {}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}, "model": {}}, {"pre_tokenizer": {"type": "ByteLevel"}, "model": {"type": "Unigram"}}):
+        with pytest.raises(ValueError):
+            bpe.supported(file, "x")

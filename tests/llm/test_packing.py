@@ -83,3 +83,12 @@ def test_every_text_in_every_capacity(spark):
     large = {c: t for c, t in load.items() if c not in small}
     assert len(large) == 1 and max(small.values()) <= 4 and sum(small.values()) == sum(large.values())
     assert found.texts == 10 and found.spare_share == pytest.approx(1 - sum(load.values()) / (4 * len(small) + 64), abs=1e-6)
+
+
+def test_many_texts_of_one_key_are_spread(spark, kinds):
+    sizes = spark.range(6000).select(F.lit(7).cast("bigint").alias("doc_id"), F.xxhash64("id").alias("h"), F.lit(None).cast("bigint").alias("row"), F.lit(3).alias("tokens"))
+    same = spark.range(6000).select(F.lit(None).cast("bigint").alias("doc_id"), F.lit(1).cast("bigint").alias("h"), F.col("id").alias("row"), F.lit(3).alias("tokens"))
+    for df in (sizes, same):
+        placed = packing.pack(df, {"s": 8}, 8)
+        per = [r["count"] for r in placed.groupBy(F.shiftright("container", 32).alias("pack")).count().collect()]
+        assert len(per) == 8 and sum(per) == 6000 and max(per) < 1200
