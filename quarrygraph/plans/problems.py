@@ -93,7 +93,37 @@ CHANGES = """snaps AS (SELECT snap_no, row_number() OVER (ORDER BY snap_no) AS r
  SELECT CAST(snap_no AS INTEGER) AS snap_no, 'relations' AS tab, key1, key2, key3, change FROM pairs JOIN snaps USING (rank) WHERE change IS NOT NULL AND rank > 1"""
 
 
-@query("p4_found")
+def _value(x: str, depth: int = 2) -> str:
+    """A JSON value as text in SQL: null where it counts as absent, numbers by value, the order of properties settled; lists and objects down to ``depth``."""
+    e, q = f"e{depth}", f"q{depth}"
+    scalars = f"CASE json_type({x}) WHEN 'NULL' THEN NULL WHEN 'VARCHAR' THEN 's' || nullif(json_extract_string({x}, '$'), '') WHEN 'BOOLEAN' THEN CAST({x} AS VARCHAR)"
+    rest = f"ELSE 'n' || CAST(TRY_CAST({x} AS DOUBLE) AS VARCHAR) END"
+    if depth == 0:
+        return f"{scalars} WHEN 'ARRAY' THEN CAST({x} AS VARCHAR) WHEN 'OBJECT' THEN CAST({x} AS VARCHAR) {rest}"
+    items = f"array_to_string(list_transform(TRY_CAST({x} AS JSON[]), lambda {e}: coalesce({_value(e, depth - 1)}, 'null')), ',')"
+    child = f"""json_extract({x}, '$."' || {q} || '"')"""
+    fields = f"array_to_string(list_sort(list_filter(list_transform(json_keys({x}), lambda {q}: {q} || '=' || {_value(child, depth - 1)}), lambda x: x IS NOT NULL)), chr(3))"
+    return f"{scalars} WHEN 'ARRAY' THEN '[' || {items} || ']' WHEN 'OBJECT' THEN '{{' || {fields} || '}}' {rest}"
+
+
+def _property(p: str, k: str) -> str:
+    return _value(f"""json_extract({p}, '$."' || {k} || '"')""", 1)
+
+
+def _is_object(p: str) -> str:
+    return f"(CASE WHEN json_valid({p}) THEN json_type({p}) = 'OBJECT' ELSE false END)"
+
+
+def _content(p: str) -> str:
+    return f"CASE WHEN coalesce(trim({p}), '') IN ('', 'null') THEN '' WHEN NOT {_is_object(p)} THEN 'invalid' || {p} ELSE array_to_string(list_sort(list_filter(list_transform(json_keys({p}), lambda k: k || '=' || {_property(p, 'k')}), lambda x: x IS NOT NULL)), chr(1)) END"
+
+
+ENTITY_CHANGES = f"""esnaps AS (SELECT snap_no, row_number() OVER (ORDER BY snap_no) AS rank FROM (SELECT DISTINCT snap_no FROM entity_snapshots)),
+ erows AS (SELECT rank, entity_name, concat_ws(chr(2), coalesce(entity_type, ''), coalesce(description, ''), coalesce(source_id, ''), {_content('properties_json')}) AS v FROM entity_snapshots s JOIN esnaps USING (snap_no) QUALIFY row_number() OVER (PARTITION BY snap_no, entity_name ORDER BY delivered_at DESC) = 1),
+ epairs AS (SELECT coalesce(b.rank, a.rank + 1) AS rank, coalesce(a.entity_name, b.entity_name) AS key1, CASE WHEN a.rank IS NULL THEN 'added' WHEN b.rank IS NULL THEN 'removed' WHEN a.v <> b.v THEN 'changed' END AS change FROM erows a FULL JOIN erows b ON a.entity_name = b.entity_name AND a.rank + 1 = b.rank)"""
+
+
+@query("p4_found", f"WITH {ENTITY_CHANGES} SELECT CAST(snap_no AS INTEGER) AS snap_no, 'entities' AS tab, key1, '' AS key2, '' AS key3, change FROM epairs JOIN esnaps USING (rank) WHERE change IS NOT NULL AND rank > 1 UNION ALL FROM (WITH {CHANGES})")
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return changes.entity_changes(table(spark, d, "entity_snapshots")).unionByName(changes.relation_changes(table(spark, d, "relation_snapshots")))
 
@@ -103,23 +133,37 @@ def p4_relations(spark: SparkSession, d: str) -> DataFrame:
     return changes.relation_changes(table(spark, d, "relation_snapshots"))
 
 
-@query("p5_found")
-def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    ent = copies.entity_differences(table(spark, d, "entities"), table(spark, d, "entities_mirror"))
-    return ent.unionByName(copies.relation_differences(table(spark, d, "relations"), table(spark, d, "relations_mirror")))
-
-
 _FIELDS = ["src_id", "tgt_id", "keywords", "source_id", "resolution_qualifier"]
 _LAST = "QUALIFY row_number() OVER (PARTITION BY ord ORDER BY indexed_at DESC NULLS LAST, src_id DESC, tgt_id DESC, keywords DESC, source_id DESC NULLS LAST, weight DESC NULLS LAST, resolution_qualifier DESC NULLS LAST) = 1"
 
 
-@query(
-    "p5_relations",
+RELATION_DIFFERENCES = (
     f"WITH a AS MATERIALIZED (SELECT * FROM relations WHERE ord IS NOT NULL {_LAST}), b AS MATERIALIZED (SELECT * FROM relations_mirror WHERE ord IS NOT NULL {_LAST}) "
     "SELECT 'relations' AS tab, CAST(ord AS VARCHAR) AS rec_key, '' AS field, 'only_main' AS diff FROM a ANTI JOIN b USING (ord) "
     "UNION ALL SELECT 'relations', CAST(ord AS VARCHAR), '', 'only_mirror' FROM b ANTI JOIN a USING (ord) "
     + "".join(f"UNION ALL SELECT 'relations', CAST(ord AS VARCHAR), '{f}', 'differs' FROM a JOIN b USING (ord) WHERE coalesce(a.{f}, '') <> coalesce(b.{f}, '') " for f in _FIELDS)
-    + "UNION ALL SELECT 'relations', CAST(ord AS VARCHAR), 'weight', 'differs' FROM a JOIN b USING (ord) WHERE (a.weight IS NULL) <> (b.weight IS NULL) OR abs(a.weight - b.weight) >= 1e-9",
+    + "UNION ALL SELECT 'relations', CAST(ord AS VARCHAR), 'weight', 'differs' FROM a JOIN b USING (ord) WHERE (a.weight IS NULL) <> (b.weight IS NULL) OR abs(a.weight - b.weight) >= 1e-9"
 )
+
+
+@query("p5_relations", RELATION_DIFFERENCES)
 def p5_relations(spark: SparkSession, d: str) -> DataFrame:
     return copies.relation_differences(table(spark, d, "relations"), table(spark, d, "relations_mirror"))
+
+
+_LATEST = "QUALIFY row_number() OVER (PARTITION BY entity_name ORDER BY indexed_at DESC NULLS LAST, entity_type DESC NULLS LAST, description DESC NULLS LAST, source_id DESC NULLS LAST, properties_json DESC NULLS LAST) = 1"
+ENTITY_DIFFERENCES = (
+    f"WITH a AS MATERIALIZED (SELECT * FROM entities WHERE entity_name IS NOT NULL {_LATEST}), b AS MATERIALIZED (SELECT * FROM entities_mirror WHERE entity_name IS NOT NULL {_LATEST}), "
+    "j AS MATERIALIZED (SELECT entity_name, coalesce(nullif(trim(a.properties_json), ''), '{}') AS pa, coalesce(nullif(trim(b.properties_json), ''), '{}') AS pb FROM a JOIN b USING (entity_name) WHERE a.properties_json IS DISTINCT FROM b.properties_json), "
+    f"ok AS MATERIALIZED (SELECT * FROM j WHERE {_is_object('pa')} AND {_is_object('pb')}), k AS (SELECT DISTINCT entity_name, pa, pb, unnest(list_concat(json_keys(pa), json_keys(pb))) AS k FROM ok) "
+    "SELECT 'entities' AS tab, entity_name AS rec_key, '' AS field, 'only_main' AS diff FROM a ANTI JOIN b USING (entity_name) UNION ALL SELECT 'entities', entity_name, '', 'only_mirror' FROM b ANTI JOIN a USING (entity_name) "
+    + "".join(f"UNION ALL SELECT 'entities', entity_name, '{f}', 'differs' FROM a JOIN b USING (entity_name) WHERE coalesce(a.{f}, '') <> coalesce(b.{f}, '') " for f in ("entity_type", "description", "source_id"))
+    + "UNION ALL SELECT 'entities', entity_name, 'properties_json', 'differs' FROM j ANTI JOIN ok USING (entity_name) "
+    + f"UNION ALL SELECT 'entities', entity_name, 'properties_json.' || k, 'differs' FROM k WHERE ({_property('pa', 'k')}) IS DISTINCT FROM ({_property('pb', 'k')})"
+)
+
+
+@query("p5_found", f"FROM ({ENTITY_DIFFERENCES}) UNION ALL FROM ({RELATION_DIFFERENCES})")
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    ent = copies.entity_differences(table(spark, d, "entities"), table(spark, d, "entities_mirror"))
+    return ent.unionByName(copies.relation_differences(table(spark, d, "relations"), table(spark, d, "relations_mirror")))
