@@ -9,21 +9,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrygraph.functions.canonical import canonical_properties
+from quarrygraph.operators.ranks import ranked
 
-#: Snapshot numbers are broadcast up to this many; beyond it they are joined by shuffle with salts.
+#: Snapshot numbers are read once and broadcast up to this many; beyond it they are joined by shuffle with salts.
 MOST_SNAPSHOTS = 100_000
 SALTS = 64
 TOLERANCE = 1e-9
 
 
-def _ranked(rows: DataFrame) -> DataFrame:
-    """Adds ``rank`` (1, 2, ... by snap_no) and ``last`` (of the table's last snapshot)."""
-    numbers = rows.select("snap_no").where("snap_no IS NOT NULL").distinct()
-    ranks = numbers.select("snap_no", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("snap_no")).alias("rank"))
-    every = Window.partitionBy(F.lit(0))
-    ranks = ranks.select("snap_no", "rank", F.max("rank").over(every).alias("last"), F.lead("snap_no").over(every.orderBy("snap_no")).alias("next_snap"))
-    if numbers.count() <= MOST_SNAPSHOTS:
+def _ranked(rows: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """Adds ``rank`` (1, 2, ... by snap_no), ``last`` (of the table's last snapshot) and ``next_snap``."""
+    spark = rows.sparkSession
+    kind = dict(snapshots.dtypes)["snap_no"]
+    numbers = snapshots.select("snap_no").where("snap_no IS NOT NULL").distinct()
+    found = sorted(r[0] for r in numbers.limit(MOST_SNAPSHOTS + 1).collect())
+    if len(found) <= MOST_SNAPSHOTS:
+        ranks = spark.createDataFrame([(n, i + 1, len(found), found[i + 1] if i + 1 < len(found) else None) for i, n in enumerate(found)], f"snap_no {kind}, rank int, last int, next_snap {kind}")
         return rows.join(F.broadcast(ranks), "snap_no")
+    ranks = ranked(numbers, ["snap_no"]).withColumn("rank", F.col("rank").cast("int"))
+    after = ranks.select((F.col("rank") - 1).alias("rank"), F.col("snap_no").alias("next_snap"))
+    ranks = ranks.join(after, "rank", "left").withColumn("last", F.lit(numbers.count()).cast("int")).select("snap_no", "rank", "last", "next_snap")
     salted = ranks.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")).join(salted, ["snap_no", "_salt"]).drop("_salt")
 
@@ -45,7 +50,7 @@ def validity(snapshots: DataFrame, keys: Sequence[str], values: Sequence[str], j
     rows = snapshots.select("snap_no", *[F.coalesce(F.col(k), F.lit("")).alias(k) for k in keys], "delivered_at", F.xxhash64(*text).alias("_hash"), *[F.col(c).alias(f"_n{i}") for i, c in enumerate(numbers)])
     nums = [f"_n{i}" for i in range(len(numbers))]
     best = rows.groupBy("snap_no", *keys).agg(F.max(F.struct("delivered_at", "_hash", *nums)).alias("_row"))
-    seen = _ranked(best.select("snap_no", *keys, *[F.col(f"_row.{c}").alias(c) for c in ["_hash", *nums]]))
+    seen = _ranked(best.select("snap_no", *keys, *[F.col(f"_row.{c}").alias(c) for c in ["_hash", *nums]]), snapshots)
     order = Window.partitionBy(*keys).orderBy("rank")
     same = [F.lag("_hash").over(order).eqNullSafe(F.col("_hash")), (F.lag("rank").over(order) == F.col("rank") - 1), *[_near(F.lag(c).over(order), F.col(c)) for c in nums]]
     starts = seen.withColumn("_start", F.when(F.coalesce(reduce(lambda x, y: x & y, same), F.lit(False)), 0).otherwise(1))
