@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quarrygraph.operators import debt, diffs, graph, history, impact, modules, search, traverse
 from quarrygraph.operators.store import Workspace
-from quarrygraph.session import ship
+from quarrygraph.session import Scratch, ship
 from quarrygraph.sources import ndjson, reports, textlogs
 
 
@@ -103,7 +103,7 @@ class Quarry:
         return {"summary": modules.freshness_summary(fresh), "stale": fresh.where("NOT fresh")}
 
     def git_metrics(self, commits: DataFrame) -> dict[str, DataFrame]:
-        m = history.file_metrics(commits)
+        m = Scratch(self.spark).cut(history.file_metrics(commits))
         hot, silos = history.hotspots(m), history.bus_factor(m, commits)
         return {"files": m, "hotspots": hot, "bus_factor": silos, "summary": history.git_summary(m, hot, silos)}
 

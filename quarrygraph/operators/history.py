@@ -33,13 +33,17 @@ def file_metrics(commits: DataFrame, now: Column | None = None) -> DataFrame:
     )
 
 
-def hotspots(metrics: DataFrame, least: int = 20) -> DataFrame:
-    """(rank, file, commits, lines, score): files that change often and much; generated files are left out; ties by name."""
+def scored(metrics: DataFrame, least: int = 20) -> DataFrame:
+    """(file, commits, lines, score): files that change often and much; generated files are left out."""
     raw = F.col("commits") * F.log10(F.col("churn") + 1) * 10
     score = F.when((F.col("commits") > 0) & (F.col("churn") > 0), F.least(F.lit(100), raw.cast("int"))).otherwise(0)
-    found = metrics.where(~X.is_generated_file(F.col("file"))).withColumn("score", score).where(F.col("score") >= least)
-    lines = F.greatest(F.lit(100), F.floor(F.col("churn") / 2))
-    return ranked(found.select("score", "file", "commits", lines.cast("bigint").alias("lines")), [F.desc("score"), F.asc("file")]).select("rank", "file", "commits", "lines", "score")
+    lines = F.greatest(F.lit(100), F.floor(F.col("churn") / 2)).cast("bigint")
+    return metrics.where(~X.is_generated_file(F.col("file"))).select("file", "commits", lines.alias("lines"), score.alias("score")).where(F.col("score") >= least)
+
+
+def hotspots(metrics: DataFrame, least: int = 20) -> DataFrame:
+    """(rank, file, commits, lines, score) of ``scored`` files, the highest scores first, ties by name."""
+    return ranked(scored(metrics, least), [F.desc("score"), F.asc("file")]).select("rank", "file", "commits", "lines", "score")
 
 
 def bus_factor(metrics: DataFrame, commits: DataFrame) -> DataFrame:

@@ -17,6 +17,8 @@ def ranked(rows: DataFrame, order: Sequence[str | Column], name: str = "rank") -
     only one count per task is brought together. Rows that are equal in ``order`` get neighbouring places in any order.
     """
     work = Scratch(rows.sparkSession)
+    # written first, as finding the ranges samples the rows, which would work them out twice
+    rows = work.cut(rows)
     part = work.cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id() - F.col("_part").cast("bigint") * (1 << 33)))
     sizes = part.groupBy("_part").agg((F.max("_at") + 1).alias("_n"))
     before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"))

@@ -205,7 +205,7 @@ def report_breakdown(spark: SparkSession, d: str) -> DataFrame:
 def debt_health_static(spark: SparkSession, d: str) -> DataFrame:
     r, c = _report(spark, d), G.commits(spark, d)
     m = history.file_metrics(c, F.lit(G.NOW))
-    git = debt.git_score(history.hotspots(m), history.bus_factor(m, c))
+    git = debt.git_score(history.scored(m), history.bus_factor(m, c))
     h = debt.health(debt.static_issues(r), spark.createDataFrame([(100,)], "score int"), debt.maintainability(r), git)
     return h.withColumn("maintainability", F.round("maintainability", 6))
 

@@ -10,7 +10,7 @@ from quarrygraph.functions.names import matching_ratio
 from quarrygraph.operators import debt, diffs, graph, history, impact, modules, search, store, traverse
 from quarrygraph.plans import graphs as G
 from quarrygraph.plans.registry import query
-from quarrygraph.session import table
+from quarrygraph.session import Scratch, table
 from quarrygraph.sources import foreign, ndjson, textlogs
 from quarrygraph.streaming.ingest import windowed_counts
 
@@ -388,7 +388,7 @@ def bus_factor(spark: SparkSession, d: str) -> DataFrame:
 def git_summary(spark: SparkSession, d: str) -> DataFrame:
     c = G.commits(spark, d)
     m = history.file_metrics(c, F.lit(G.NOW))
-    return history.git_summary(m, history.hotspots(m), history.bus_factor(m, c))
+    return history.git_summary(m, history.scored(m), history.bus_factor(m, c))
 
 
 @query("gitlog_commits", f"WITH {G.COMMITS} SELECT printf('%x', o_orderkey) AS sha, author, ts, count(*) AS files, CAST(sum(added) AS BIGINT) AS added FROM c GROUP BY o_orderkey, author, ts")
@@ -519,11 +519,16 @@ _ISSUES = f"""WITH {G.TOPOLOGY}, {_SCORE}, {G.COMMITS}, iss AS (SELECT 'topology
  UNION ALL SELECT 'git', 'P0', 'critical_hotspot', file, 'file', file FROM hot WHERE score >= 80 UNION ALL SELECT 'git', 'P1', 'knowledge_silo', file, 'file', file FROM silo WHERE risk = 'critical')"""
 
 
-def _issues(spark: SparkSession, d: str) -> tuple[DataFrame, graph.Topology, DataFrame, DataFrame, DataFrame]:
-    t, c = _topology(spark, d), G.commits(spark, d)
-    m = history.file_metrics(c, F.lit(G.NOW))
-    hot, silos = history.hotspots(m), history.bus_factor(m, c)
-    return debt.topology_issues(t).unionByName(debt.git_issues(hot, silos)), t, hot, silos, m
+def _git(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(metrics, hotspots, silos) of the commits."""
+    c = G.commits(spark, d)
+    m = Scratch(spark).cut(history.file_metrics(c, F.lit(G.NOW)))
+    return m, history.scored(m), history.bus_factor(m, c)
+
+
+def _issues(spark: SparkSession, d: str) -> tuple[DataFrame, graph.Topology, DataFrame]:
+    t, (m, hot, silos) = _topology(spark, d), _git(spark, d)
+    return debt.topology_issues(t).unionByName(debt.git_issues(hot, silos)), t, m
 
 
 @query("debt_issues", _ISSUES + " FROM iss")
@@ -552,19 +557,18 @@ def debt_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query("git_score", f"WITH {G.COMMITS} SELECT 100 - least(40, 15 * (SELECT count(*) FROM hot WHERE score >= 80)) - least(40, 8 * (SELECT count(*) FROM silo WHERE risk = 'critical')) AS git_score")
 def git_score(spark: SparkSession, d: str) -> DataFrame:
-    _, _, hot, silos, _ = _issues(spark, d)
-    return debt.git_score(hot, silos)
+    return debt.git_score(*_git(spark, d)[1:])
 
 
 @query("debt_health", _ISSUES + ", n AS (SELECT count(*) FILTER (WHERE severity = 'P0') AS p0, count(*) FILTER (WHERE severity = 'P1') AS p1, count(*) FILTER (WHERE severity = 'P2') AS p2, 100.0::DOUBLE AS quality, CAST(NULL AS DOUBLE) AS maintainability, (SELECT score::DOUBLE FROM ts) AS structure FROM iss), h AS (SELECT *, CAST(trunc(round((quality * 0.4 + structure * 0.3) / 0.7, 9)) AS INTEGER) AS total FROM n) SELECT *, CASE WHEN total >= 90 THEN 'A' WHEN total >= 80 THEN 'B' WHEN total >= 70 THEN 'C' WHEN total >= 60 THEN 'D' ELSE 'F' END AS grade FROM h")
 def debt_health(spark: SparkSession, d: str) -> DataFrame:
-    issues, t, _, _, _ = _issues(spark, d)
+    issues, t, _ = _issues(spark, d)
     return debt.health(issues, t.score())
 
 
 @query("debt_enriched", _ISSUES + ", j AS (SELECT iss.*, fm.commits AS fc, (1900000000 - modified) // 86400 AS md FROM iss LEFT JOIN fm ON fm.file = regexp_replace(iss.file, ':[0-9-][^:]*$', '')) SELECT source, CASE WHEN category = 'god_function' AND fc > 10 THEN 'P0' ELSE severity END AS severity, category, entity, entity_type, file, CASE WHEN category = 'orphan_entity' AND md IS NOT NULL THEN CASE WHEN md > 365 THEN 'high' WHEN md > 90 THEN 'medium' ELSE 'low' END WHEN category = 'orphan_entity' THEN CASE j.severity WHEN 'P2' THEN 'low' ELSE 'medium' END END AS confidence, coalesce(category = 'god_function' AND fc > 10, false) AS is_hotspot FROM j")
 def debt_enriched(spark: SparkSession, d: str) -> DataFrame:
-    issues, _, _, _, m = _issues(spark, d)
+    issues, _, m = _issues(spark, d)
     return debt.enriched(issues, m).select(*debt.ISSUE, "confidence", "is_hotspot")
 
 
